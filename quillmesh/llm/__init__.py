@@ -6,6 +6,8 @@ import importlib
 
 #: Modules with a QUERIES table (name -> callable) and an ORACLES table (name -> SQL).
 _MODULES = (
+    "token_store",
+    "packing",
     "sharding",
 )
 
