@@ -6,6 +6,7 @@ import importlib
 
 #: Modules with a QUERIES table (name -> callable) and an ORACLES table (name -> SQL).
 _MODULES = (
+    "simhash",
     "token_store",
     "packing",
     "sharding",

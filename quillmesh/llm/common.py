@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +16,28 @@ from pyspark.sql import functions as F
 #: Text taken into one working batch of a Python worker, in bytes (one longer text is a batch of its own).
 BATCH_BYTES = 8 << 20
 
+_shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    package = Path(__file__).resolve().parent.parent
+    if not package.is_dir():  # it runs from a zip file: it was shipped already
+        return
+    to = Path(tempfile.mkdtemp(prefix="quillmesh-")) / "quillmesh-code.zip"
+    with zipfile.ZipFile(to, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(to))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -70,6 +90,7 @@ def map_text(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schem
         for b in pieces(batches):
             yield f(b)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
