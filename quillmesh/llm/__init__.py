@@ -7,6 +7,7 @@ import importlib
 #: Modules with a QUERIES table (name -> callable) and an ORACLES table (name -> SQL).
 _MODULES = (
     "url_filter",
+    "byte_bpe",
     "simhash",
     "token_store",
     "packing",
