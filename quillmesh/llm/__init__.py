@@ -9,6 +9,7 @@ _MODULES = (
     "url_filter",
     "byte_bpe",
     "simhash",
+    "mpeg_audio",
     "token_store",
     "packing",
     "sharding",
