@@ -10,6 +10,7 @@ _MODULES = (
     "byte_bpe",
     "simhash",
     "mpeg_audio",
+    "quality",
     "token_store",
     "packing",
     "sharding",
