@@ -11,6 +11,7 @@ _MODULES = (
     "simhash",
     "mpeg_audio",
     "quality",
+    "pii",
     "token_store",
     "packing",
     "sharding",
