@@ -15,6 +15,7 @@ _MODULES = (
     "token_store",
     "packing",
     "sharding",
+    "ann",
 )
 
 
@@ -27,7 +28,9 @@ def queries() -> dict:
     out = {}
     for m in _modules():
         out |= m.QUERIES
-    return out
+    import corpus_pipeline
+
+    return out | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
@@ -35,4 +38,6 @@ def oracle_sql() -> dict:
     out = {}
     for m in _modules():
         out |= m.ORACLES
-    return out
+    import corpus_pipeline
+
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

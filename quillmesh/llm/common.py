@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,27 +74,56 @@ def drop_cuts() -> None:
 atexit.register(drop_cuts)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that each holds about BATCH_BYTES of text, or one row."""
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that each holds about `size` bytes of a column, or one row."""
     for b in batches:
         if not b.num_rows:
             continue
-        step = max(1, int(b.num_rows * BATCH_BYTES / max(1, b.column(text).nbytes)))
+        step = max(1, int(b.num_rows * size / max(1, b.column(text).nbytes)))
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
 
 
-def map_text(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_text(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema, size: int = BATCH_BYTES) -> DataFrame:
     """f over batches of bounded size, without a shuffle."""
 
     def run(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, size=size):
             yield f(b)
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of about `rows` rows that never part a key's rows, from batches sorted by key (a long without nulls)."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n < rows:
+            continue
+        keys = np.asarray(b.column(key))
+        first = int(np.searchsorted(keys, keys[-1], side="left"))
+        if first == 0 and np.asarray(held[0].column(key))[0] == keys[-1]:
+            continue  # all of one key so far
+        done = [*held[:-1], b.slice(0, first)]
+        if first == 0:  # the last key's rows began in an earlier batch
+            t = pa.Table.from_batches(held)
+            at = int(np.searchsorted(t.column(key).to_numpy(), keys[-1], side="left"))
+            yield t.slice(0, at)
+            held = t.slice(at).to_batches()
+        else:
+            yield pa.Table.from_batches(done)
+            held = [b.slice(first)]
+        n = sum(x.num_rows for x in held)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def texts(batch: pa.RecordBatch) -> list[str]:
     """The batch's texts; null is empty."""
     return [t or "" for t in batch.column("text").to_pylist()]
