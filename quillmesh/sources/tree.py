@@ -8,7 +8,7 @@ contents on the executors, excluded files not at all.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillmesh.functions.text import excluded, newlines
+from quillmesh.shipping import ship
 from quillmesh.sources.config import Root
 
 ENTRIES = "root_ord int, root string, rel_path string, is_dir boolean, content string, read_error string"
@@ -33,6 +34,7 @@ class TreeReader(DataSourceReader):
     def __init__(self, options):
         self.roots = options.get("roots", options.get("path", "")).split("\n")
         self.contents = options.get("contents", "true") == "true"
+        self.also = set(filter(None, options.get("also", "").split("\n")))
 
     def partitions(self) -> list[Slice]:
         found = []
@@ -48,7 +50,7 @@ class TreeReader(DataSourceReader):
         rows = []
         for n, root, rel, is_dir in partition.entries:
             content = error = None
-            if self.contents and not is_dir and rel.endswith(".md"):
+            if self.contents and not is_dir and (rel.endswith(".md") or os.path.join(root, rel) in self.also):
                 try:
                     with open(os.path.join(root, rel), "rb") as f:
                         content = f.read().decode("utf-8")
@@ -59,7 +61,7 @@ class TreeReader(DataSourceReader):
 
 
 class TreeSource(DataSource):
-    """format("kb"): option roots (one a line) or path; contents=false lists only."""
+    """format("kb"): option roots (one a line) or path; contents=false lists only; `also` names files to read that aren't Markdown."""
 
     @classmethod
     def name(cls) -> str:
@@ -72,14 +74,15 @@ class TreeSource(DataSource):
         return TreeReader(self.options)
 
 
-def read_tree(spark: SparkSession, roots: list[str], contents: bool = True) -> DataFrame:
+def read_tree(spark: SparkSession, roots: list[str], contents: bool = True, also: Iterable[str] = ()) -> DataFrame:
     """Every entry under the roots, hidden and empty ones included."""
+    ship(spark)
     spark.dataSource.register(TreeSource)
-    return spark.read.format("kb").option("roots", "\n".join(roots)).option("contents", str(contents).lower()).load()
+    return spark.read.format("kb").option("roots", "\n".join(roots)).option("contents", str(contents).lower()).option("also", "\n".join(also)).load()
 
 
 def as_files(entries: DataFrame, roots: tuple[Root, ...]) -> DataFrame:
-    """The Markdown files among entries, without those their root excludes; `skipped` roots have no exclusions."""
+    """The Markdown files among entries, without those their root excludes."""
     keep = F.lit(True)
     for n, r in enumerate(roots):
         if r.exclude:
