@@ -397,7 +397,8 @@ def op6_pii(spark, sf_dir: str) -> DataFrame:
     number = lambda s: F.element_at(F.create_map(*(F.lit(x) for kv in order.items() for x in kv)), s["kind"])
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     every = F.transform(F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(number(s).alias("n"), s["start"].alias("a"), s["end"].alias("b"), s.alias("s")))), lambda x: x["s"])
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:4]]
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [count(k) for k in KINDS[:4]]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(every).alias("spans"))
 
 
