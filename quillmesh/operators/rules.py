@@ -1,4 +1,7 @@
-"""The rules: each gives diagnostics; enabled ones are united in one plan.
+"""The rules: each gives findings; enabled ones are united in one plan.
+
+A rule that looks at one file alone is a column, an array of findings, so all of
+them take one pass; link rules and the split rule are joins of their own.
 
 A diagnostic is code, tier, severity, file, message; `root_ord`, `parts`,
 `rule_ord` and `pos` order them as the checks run: by file, then core, profile
@@ -24,7 +27,35 @@ ORDER = ["root_ord", "parts", "rule_ord", "pos"]
 RULES = ("F001", "F002", "R001", "R002", "F101", "F106", "F102", "F105", "S102", "L001", "L003", "L002", "S202", "F201", "R201")
 
 
+FINDING = "struct<rule_ord: int, pos: int, code: string, tier: string, severity: string, message: string>"
+
+
+def _finding(code: str, message: Column, tier: str, severity: str = "error", pos: Column | None = None) -> Column:
+    at = F.lit(0) if pos is None else pos.cast("int")
+    return F.struct(F.lit(RULES.index(code)).alias("rule_ord"), at.alias("pos"), F.lit(code).alias("code"), F.lit(tier).alias("tier"), F.lit(severity).alias("severity"), message.alias("message"))
+
+
+def _none() -> Column:
+    return F.array().cast(f"array<{FINDING}>")
+
+
+def _if(condition: Column, finding: Column) -> Column:
+    return F.when(condition, F.array(finding)).otherwise(_none())
+
+
+def _each(values: Column, finding) -> Column:
+    """A finding for each value (and its place); none for null."""
+    return F.coalesce(F.transform(values, finding), _none())
+
+
+def emit(rows: DataFrame, *findings: Column) -> DataFrame:
+    """Diagnostics of rules that look at one row: one pass over rows, whatever their number."""
+    found = rows.select("root_ord", "rel_path", F.explode(F.concat(*findings)).alias("x"))
+    return found.select("root_ord", F.split("rel_path", "/").alias("parts"), "x.rule_ord", "x.pos", "x.code", "x.tier", "x.severity", F.col("rel_path").alias("file"), "x.message")
+
+
 def _emit(rows: DataFrame, code: str, message: Column, tier: str, severity: str = "error", pos: Column | None = None, order: int | None = None) -> DataFrame:
+    """Diagnostics of a rule whose rows are findings already."""
     return rows.select(
         "root_ord",
         F.split("rel_path", "/").alias("parts"),
@@ -42,39 +73,39 @@ def severity_of(level: str) -> str:
     return {"warn": "warning", "error": "error"}[level]
 
 
-def split_reserved(rows: DataFrame, reserved: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Index files, log files and concepts, by exact name."""
+def kind_of(reserved: dict[str, str]) -> Column:
+    """index, log or concept, by exact name."""
     index, log = reserved.get("index", "index.md"), reserved.get("log", "log.md")
-    name = F.col("name")
-    return rows.where(name == index), rows.where((name == log) & (name != index)), rows.where((name != index) & (name != log))
+    return F.when(F.col("name") == index, "index").when(F.col("name") == log, "log").otherwise("concept")
 
 
-def f001(concepts: DataFrame) -> DataFrame:
-    return _emit(concepts.where("fm is null"), "F001", F.lit("frontmatter absent or unparsable"), "core")
+def with_kind(rows: DataFrame, reserved: dict[str, str]) -> DataFrame:
+    """Adds kind, and core_ok: a concept whose header and type later stages look at."""
+    rows = rows.withColumn("kind", kind_of(reserved))
+    return rows.withColumn("core_ok", (F.col("kind") == "concept") & F.col("fm").isNotNull() & ~type_is_missing())
 
 
 def type_is_missing() -> Column:
     return F.col("fm").isNotNull() & (~has_key("type") | (T.strip(fm_text("type")) == ""))
 
 
-def f002(concepts: DataFrame) -> DataFrame:
-    return _emit(concepts.where(type_is_missing()), "F002", F.lit("`type` field absent or empty"), "core")
+def f001() -> Column:
+    return _if((F.col("kind") == "concept") & F.col("fm").isNull(), _finding("F001", F.lit("frontmatter absent or unparsable"), "core"))
 
 
-def core_ok(concepts: DataFrame) -> DataFrame:
-    """The concepts that later stages look at."""
-    return concepts.where(F.col("fm").isNotNull() & ~type_is_missing())
+def f002() -> Column:
+    return _if((F.col("kind") == "concept") & type_is_missing(), _finding("F002", F.lit("`type` field absent or empty"), "core"))
 
 
-def r001(index_files: DataFrame) -> DataFrame:
+def r001() -> Column:
     extra = F.size(F.array_except("fm.keys", F.array(F.lit("okf_version")))) > 0
-    bad = index_files.where(F.col("fm").isNotNull() & ((F.col("depth") > 0) | extra))
-    return _emit(bad, "R001", F.lit("frontmatter forbidden in index.md (only `okf_version` allowed at root)"), "core")
+    bad = (F.col("kind") == "index") & F.col("fm").isNotNull() & ((F.col("depth") > 0) | extra)
+    return _if(bad, _finding("R001", F.lit("frontmatter forbidden in index.md (only `okf_version` allowed at root)"), "core"))
 
 
-def r002(log_files: DataFrame) -> DataFrame:
-    found = log_files.select("root_ord", "rel_path", F.posexplode(T.headers(F.col("masked"))).alias("pos", "h")).where((F.col("h.level") == 2) & ~F.col("h.text").rlike(T.ISO_DATE))
-    return _emit(found, "R002", F.concat(F.lit("non-ISO date heading in log.md: `"), F.col("h.text"), F.lit("`")), "core", pos=F.col("pos"))
+def r002() -> Column:
+    headings = F.when(F.col("kind") == "log", F.filter(T.headers(F.col("masked")), lambda h: (h["level"] == 2) & ~h["text"].rlike(T.ISO_DATE)))
+    return _each(headings, lambda h, i: _finding("R002", F.concat(F.lit("non-ISO date heading in log.md: `"), h["text"], F.lit("`")), "core", pos=i))
 
 
 def _map(d: dict, kind: str) -> Column:
@@ -102,22 +133,25 @@ def with_type(rows: DataFrame, profile: Profile) -> DataFrame:
     return rows.withColumn("type_text", text).withColumn("type_key", F.coalesce(by_key, look(aliases))).withColumn("by_alias", by_key.isNull() & look(aliases).isNotNull())
 
 
-def f101(typed: DataFrame) -> DataFrame:
-    return _emit(typed.where("type_key is null"), "F101", F.concat(F.lit("`type` value not in declared types: `"), F.col("type_text"), F.lit("`")), "profile")
+def f101() -> Column:
+    return _if(F.col("core_ok") & F.col("type_key").isNull(), _finding("F101", F.concat(F.lit("`type` value not in declared types: `"), F.col("type_text"), F.lit("`")), "profile"))
 
 
-def f106(typed: DataFrame) -> DataFrame:
-    return _emit(typed.where("by_alias"), "F106", F.concat(F.lit("non-normalised `type` spelling: `"), F.col("type_text"), F.lit("` → use `"), F.col("type_key"), F.lit("`")), "profile")
+def f106() -> Column:
+    return _if(F.col("core_ok") & F.col("by_alias"), _finding("F106", F.concat(F.lit("non-normalised `type` spelling: `"), F.col("type_text"), F.lit("` → use `"), F.col("type_key"), F.lit("`")), "profile"))
 
 
-def f102(typed: DataFrame, profile: Profile) -> DataFrame:
+def _typed(values: Column) -> Column:
+    return F.when(F.col("core_ok") & F.col("type_key").isNotNull(), values)
+
+
+def f102(profile: Profile) -> Column:
     required = _map({k: _strings([f for f in r.required if f != "type"]) for k, r in profile.types.items()}, "array<string>")
     missing = F.filter(F.try_element_at(required, F.col("type_key")), lambda f: ~F.array_contains(F.col("fm.keys"), f))
-    found = typed.where("type_key is not null").select("root_ord", "rel_path", F.posexplode(missing).alias("pos", "f"))
-    return _emit(found, "F102", F.concat(F.lit("missing required field: `"), F.col("f"), F.lit("`")), "profile", pos=F.col("pos"))
+    return _each(_typed(missing), lambda f, i: _finding("F102", F.concat(F.lit("missing required field: `"), f, F.lit("`")), "profile", pos=i))
 
 
-def f105(typed: DataFrame, profile: Profile) -> DataFrame:
+def f105(profile: Profile) -> Column:
     entry = lambda p, allowed: F.struct(F.lit(p).alias("p"), _strings(allowed).alias("allowed"), F.lit(str(list(allowed))).alias("shown"))
     kind = "array<struct<p: string, allowed: array<string>, shown: string>>"
     vocabularies = _map({k: F.array(*(entry(p, a) for p, a in r.values.items())).cast(kind) for k, r in profile.types.items()}, kind)
@@ -125,33 +159,29 @@ def f105(typed: DataFrame, profile: Profile) -> DataFrame:
         F.try_element_at(vocabularies, F.col("type_key")),
         lambda v: F.array_contains(F.col("fm.keys"), v["p"]) & F.exists(F.try_element_at(F.col("fm.elements"), v["p"]), lambda e: ~e["is_str"] | ~F.array_contains(v["allowed"], e["s"])),
     )
-    found = typed.where("type_key is not null").select("root_ord", "rel_path", "fm", F.posexplode(bad).alias("pos", "v"))
-    message = F.concat(F.lit("value outside vocabulary: `"), F.col("v.p"), F.lit("="), F.try_element_at(F.col("fm.texts"), F.col("v.p")), F.lit("` (allowed: "), F.col("v.shown"), F.lit(")"))
-    return _emit(found, "F105", message, "profile", pos=F.col("pos"))
+    message = lambda v: F.concat(F.lit("value outside vocabulary: `"), v["p"], F.lit("="), F.try_element_at(F.col("fm.texts"), v["p"]), F.lit("` (allowed: "), v["shown"], F.lit(")"))
+    return _each(_typed(bad), lambda v, i: _finding("F105", message(v), "profile", pos=i))
 
 
-def s102(typed: DataFrame, profile: Profile) -> DataFrame:
+def s102(profile: Profile) -> Column:
     value = lambda f: F.try_element_at(F.col("fm.texts"), f)
     bad = F.filter(_strings(profile.date_fields), lambda f: F.array_contains(F.col("fm.truthy"), f) & ~value(f).rlike(T.ISO_DATE))
-    found = typed.where("type_key is not null").select("root_ord", "rel_path", "fm", F.posexplode(bad).alias("pos", "f"))
-    message = F.concat(F.lit("incorrectly formatted date: `"), F.col("f"), F.lit("="), value(F.col("f")), F.lit("` (expected YYYY-MM-DD)"))
-    return _emit(found, "S102", message, "profile", pos=F.col("pos"))
+    return _each(_typed(bad), lambda f, i: _finding("S102", F.concat(F.lit("incorrectly formatted date: `"), f, F.lit("="), value(f), F.lit("` (expected YYYY-MM-DD)")), "profile", pos=i))
 
 
-def f201(typed: DataFrame, profile: Profile, level: str) -> DataFrame:
+def f201(profile: Profile, level: str) -> Column:
     known = _map({k: _strings(sorted({*r.required, *r.optional, "type"})) for k, r in profile.types.items()}, "array<string>")
     unknown = F.array_sort(F.array_except("fm.keys", F.try_element_at(known, F.col("type_key"))))
-    found = typed.where("type_key is not null").select("root_ord", "rel_path", F.posexplode(unknown).alias("pos", "f"))
-    return _emit(found, "F201", F.concat(F.lit("unknown field in frontmatter: `"), F.col("f"), F.lit("`")), "hygiene", severity_of(level), F.col("pos"))
-
-
-def l001(resolved: DataFrame, refs: frozenset[str], level: str) -> DataFrame:
-    bad = resolved.where(F.col("broken") & ~F.lower("target").isin(sorted(refs)) if refs else F.col("broken"))
-    return _emit(bad, "L001", F.concat(F.lit("broken wikilink: [["), F.col("target"), F.lit("]]")), "hygiene", severity_of(level), F.col("pos") * 2, RULES.index("L001"))
+    return _each(_typed(unknown), lambda f, i: _finding("F201", F.concat(F.lit("unknown field in frontmatter: `"), f, F.lit("`")), "hygiene", severity_of(level), i))
 
 
-def l003(resolved: DataFrame, level: str) -> DataFrame:
-    return _emit(resolved.where("ambiguous"), "L003", F.concat(F.lit("ambiguous wikilink: [["), F.col("target"), F.lit("]]")), "hygiene", severity_of(level), F.col("pos") * 2 + 1, RULES.index("L001"))
+def wikilink_rules(resolved: DataFrame, refs: frozenset[str], level: str) -> DataFrame:
+    """L001 and L003, in text order: one pass over resolved links."""
+    shown = lambda what: F.concat(F.lit(f"{what} wikilink: [["), F.col("target"), F.lit("]]"))
+    broken = F.col("broken") & (~F.lower("target").isin(sorted(refs)) if refs else F.lit(True))
+    l001 = _if(broken, _finding("L001", shown("broken"), "hygiene", severity_of(level), F.col("pos") * 2))
+    l003 = _if(F.col("ambiguous"), _finding("L003", shown("ambiguous"), "hygiene", severity_of(level), F.col("pos") * 2 + 1))
+    return emit(resolved.where("broken or ambiguous"), l001, l003).withColumn("rule_ord", F.lit(RULES.index("L001")))
 
 
 def l002(resolved: DataFrame, level: str) -> DataFrame:
@@ -183,25 +213,25 @@ def r201(paths: DataFrame, roots: Sequence[Root], reserved: dict[str, str], leve
 
 
 def diagnostics(rows: DataFrame, manifest: Manifest, index: DataFrame, paths: DataFrame | None, *, with_r201: bool = True) -> DataFrame:
-    """All enabled rules over parsed rows. A level that is off adds nothing to the plan."""
-    index_files, log_files, concepts = split_reserved(rows, manifest.reserved)
-    fine = core_ok(concepts)
-    out = [f001(concepts), f002(concepts), r001(index_files), r002(log_files)]
-    typed = None
-    if manifest.profile is not None:
-        typed = with_type(fine, manifest.profile)
-        out += [f101(typed), f106(typed), f102(typed, manifest.profile), f105(typed, manifest.profile), s102(typed, manifest.profile)]
-    h = manifest.hygiene
+    """All enabled rules over parsed rows: one pass for those that look at one file, one for each kind of link, one for cohesion. A level that is off adds nothing to the plan."""
+    rows = with_kind(rows, manifest.reserved)
+    local = [f001(), f002(), r001(), r002()]
+    h, profile = manifest.hygiene, manifest.profile
+    if profile is not None:
+        rows = with_type(rows, profile)
+        local += [f101(), f106(), f102(profile), f105(profile), s102(profile)]
+        if h is not None and h.unknown_fields != "off":
+            local.append(f201(profile, h.unknown_fields))
+    out = [emit(rows, *local)]
+    fine = rows.where("core_ok")
     if h is not None:
         if h.broken_links != "off":
             wiki = links.resolve_wikilinks(links.wikilinks(fine), index)
-            out += [l001(wiki, manifest.external_refs, h.broken_links), l003(wiki, h.broken_links)]
+            out.append(wikilink_rules(wiki, manifest.external_refs, h.broken_links))
             if paths is not None:
                 out.append(l002(links.resolve_mdlinks(links.mdlinks(fine), paths), h.broken_links))
         if h.split_candidates != "off":
             out.append(s202(fine, h))
-        if h.unknown_fields != "off" and typed is not None:
-            out.append(f201(typed, manifest.profile, h.unknown_fields))
         if h.reserved_files != "off" and with_r201 and paths is not None:
             out.append(r201(paths, manifest.roots, manifest.reserved, h.reserved_files))
     return reduce(DataFrame.unionByName, out)

@@ -19,8 +19,12 @@ def _parsed(spark, d) -> DataFrame:
     return files.parsed(kb_files(spark, d))
 
 
+def _kinds(spark, d) -> DataFrame:
+    return rules.with_kind(_parsed(spark, d), MANIFEST.reserved)
+
+
 def _concepts(spark, d) -> DataFrame:
-    return rules.core_ok(rules.split_reserved(_parsed(spark, d), MANIFEST.reserved)[2])
+    return _kinds(spark, d).where("core_ok")
 
 
 def _typed(spark, d) -> DataFrame:
@@ -145,8 +149,12 @@ def _rule(f):
     return lambda spark, d: _public(f(spark, d))
 
 
-def _reserved_rows(spark, d, k):
-    return rules.split_reserved(_parsed(spark, d), MANIFEST.reserved)[k]
+def _one(finding):
+    return _rule(lambda s, d: rules.emit(rules.with_type(_kinds(s, d), PROFILE), finding()))
+
+
+def _wiki_rule(code):
+    return _rule(lambda s, d: rules.wikilink_rules(_wiki(s, d, _concepts(s, d)), MANIFEST.external_refs, "warn").where(F.col("code") == code))
 
 
 def tf(spark, d):
@@ -257,20 +265,20 @@ QUERIES = {
     "wikilink_resolution": wikilink_resolution,
     "mdlink_resolution": mdlink_resolution,
     "type_resolution": type_resolution,
-    "rule_F001": _rule(lambda s, d: rules.f001(_reserved_rows(s, d, 2))),
-    "rule_F002": _rule(lambda s, d: rules.f002(_reserved_rows(s, d, 2))),
-    "rule_R001": _rule(lambda s, d: rules.r001(_reserved_rows(s, d, 0))),
-    "rule_R002": _rule(lambda s, d: rules.r002(_reserved_rows(s, d, 1))),
-    "rule_F101": _rule(lambda s, d: rules.f101(_typed(s, d))),
-    "rule_F106": _rule(lambda s, d: rules.f106(_typed(s, d))),
-    "rule_F102": _rule(lambda s, d: rules.f102(_typed(s, d), PROFILE)),
-    "rule_F105": _rule(lambda s, d: rules.f105(_typed(s, d), PROFILE)),
-    "rule_S102": _rule(lambda s, d: rules.s102(_typed(s, d), PROFILE)),
-    "rule_L001": _rule(lambda s, d: rules.l001(_wiki(s, d, _concepts(s, d)), MANIFEST.external_refs, "warn")),
-    "rule_L003": _rule(lambda s, d: rules.l003(_wiki(s, d, _concepts(s, d)), "warn")),
+    "rule_F001": _one(rules.f001),
+    "rule_F002": _one(rules.f002),
+    "rule_R001": _one(rules.r001),
+    "rule_R002": _one(rules.r002),
+    "rule_F101": _one(rules.f101),
+    "rule_F106": _one(rules.f106),
+    "rule_F102": _one(lambda: rules.f102(PROFILE)),
+    "rule_F105": _one(lambda: rules.f105(PROFILE)),
+    "rule_S102": _one(lambda: rules.s102(PROFILE)),
+    "rule_L001": _wiki_rule("L001"),
+    "rule_L003": _wiki_rule("L003"),
     "rule_L002": _rule(lambda s, d: rules.l002(_md(s, d, _concepts(s, d)), "warn")),
     "rule_S202": _rule(lambda s, d: rules.s202(_concepts(s, d), HYGIENE)),
-    "rule_F201": _rule(lambda s, d: rules.f201(_typed(s, d), PROFILE, "warn")),
+    "rule_F201": _one(lambda: rules.f201(PROFILE, "warn")),
     "rule_R201": _rule(lambda s, d: rules.r201(kb_paths(kb_files(s, d)), MANIFEST.roots, MANIFEST.reserved, "error")),
     "tf": tf,
     "df": df,
