@@ -3,40 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmesh.shipping import ship
+
 #: Text taken into one working batch of a Python worker, in bytes (one longer text is a batch of its own).
 BATCH_BYTES = 8 << 20
 
-_shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    _shipped.add(sc.applicationId)
-    package = Path(__file__).resolve().parent.parent
-    if not package.is_dir():  # it runs from a zip file: it was shipped already
-        return
-    to = Path(tempfile.mkdtemp(prefix="quillmesh-")) / "quillmesh-code.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(str(to))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -90,11 +75,19 @@ def map_text(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schem
     def run(batches):
         for b in pieces(batches, size=size):
             yield f(b)
+        release()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def release() -> None:
+    """Hand memory that a task no longer uses back to the system: workers live on, and others share the executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000) -> Iterator[pa.Table]:
     """Tables of about `rows` rows that never part a key's rows, from batches sorted by key (a long without nulls)."""
     held: list[pa.RecordBatch] = []

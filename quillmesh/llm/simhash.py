@@ -42,6 +42,8 @@ from quillmesh.llm.components import components
 BLOCK = 24
 COLD = 64
 CHUNK = 1000
+#: Bytes of text in a batch: its hashes take some twenty times as much.
+BATCH = 2 << 20
 SEED = 42
 #: Odd multipliers that turn one 64-bit hash into more: multiples of the golden ratio's fraction.
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -120,7 +122,7 @@ def fingerprints(df: DataFrame, words: int = 5, bits: int = 64) -> DataFrame:
         lists = pa.ListArray.from_arrays(np.arange(0, fp.size + 1, bits // 64, dtype=np.int32), flat)
         return pa.RecordBatch.from_arrays([b.column("doc_id"), lists], names=["doc_id", "fp"])
 
-    return map_text(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, fp array<long>")
+    return map_text(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, fp array<long>", BATCH)
 
 
 def distance_for(similarity: float, bits: int) -> int:

@@ -21,8 +21,8 @@ from itertools import chain
 import numpy as np
 
 #: Words, and parts of words, remembered by a worker: about 200 bytes each.
-MEMO = 1_000_000
-MEMO_PARTS = 500_000
+MEMO = 400_000
+MEMO_PARTS = 200_000
 #: Longer words are encoded each time they occur.
 MEMO_CHARS = 64
 #: Words given to the library's model as one text.
