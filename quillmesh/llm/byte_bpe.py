@@ -7,7 +7,7 @@ taken in rank order; each merges all its places, left to right, and only the
 touched neighbours are indexed anew. Words are independent of each other, so
 this gives for each the merges that encoding it alone would give. (Were a merge
 to make a pair of lower rank, as a vocabulary that isn't BPE-trained might, the
-row goes back to that rank first.)
+word is encoded alone.)
 
 A worker remembers the ids of up to MEMO words and text parts; when full it
 starts afresh, so memory is bounded and results don't depend on it. No shuffle.
@@ -19,7 +19,6 @@ import base64
 import gc
 import heapq
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +30,11 @@ from quillmesh.llm.common import map_text, pieces, ship, table, texts
 
 MEMO = 500_000
 MEMO_CHARS = 64
+#: Distinct words whose merges are replayed together, and bytes of text or ids in a batch.
+WORDS = 250_000
+BATCH = 4 << 20
+#: Parts text parts from each other where many are split at once, and ends a part among ids.
+_PART, _END = "\0", b"\xff\xff\xff\xff"
 
 #: White space as Unicode's White_Space property has it, for character classes.
 _WS = "\t-\r \x85\xa0  -     　"
@@ -39,12 +43,36 @@ _UNEVEN = re.compile(f" (?![^{_WS}])")
 _RUNS = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
 
 _coders: dict[tuple[str, str], ByteBPE] = {}
+_vocabularies: dict[str, Vocabulary] = {}
+
+
+def load_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+
+
+class Vocabulary:
+    """The bytes of ids."""
+
+    def __init__(self, path: str):
+        ranks = load_ranks(path)
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for t, r in ranks.items():
+            tokens[r] = t
+        self.sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.raw = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of ids, one after the other."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.raw[np.arange(int(ends[-1]) if len(ids) else 0) + np.repeat(self.starts[ids] - (ends - sizes), sizes)]
 
 
 class ByteBPE:
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.ranks = load_ranks(path)
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for t, r in self.ranks.items():
             self.tokens[r] = t
@@ -55,109 +83,135 @@ class ByteBPE:
         # \s as White_Space everywhere: the regex module's own takes in U+001C to U+001F.
         spelt = pattern.replace(r"[^\s", f"[^{_WS}").replace(r"\S", f"[^{_WS}]").replace(r"\s", f"[{_WS}]")
         self.split = regex.compile(spelt).findall
-        self.words: dict[str, bytes] = {}
+        apart = spelt.replace(f"[^{_WS}", f"[^{_PART}{_WS}", 1)
+        self.split_parts = regex.compile(f"{_PART}|{apart}").findall if f"[^{_WS}" in spelt else None
+        self.words: dict[str, bytes] = {_PART: _END}
         self.after_space: dict[str, bytes] = {}  # by the text after the space
         self.plain: dict[str, bytes] = {}
 
+    def _made(self, keys: list[int]) -> list[int]:
+        """The token that each pair of neighbours makes (left << 32 | right), or -1."""
+        pairs, ranks, tokens = self.pairs, self.ranks, self.tokens
+        if len(pairs) > MEMO // 2:
+            pairs.clear()
+        out = list(map(pairs.get, keys))
+        for i, q in enumerate(out):
+            if q is None:
+                k = keys[i]
+                out[i] = pairs[k] = ranks.get(tokens[k >> 32] + tokens[k & 0xFFFFFFFF], -1)
+        return out
+
     def replay(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as little-endian unsigned 32-bit integers. Words have a byte at least."""
         raw = np.frombuffer(b"".join(words), np.uint8)
         n = len(raw)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
-        sym = self.byte_ids[raw].tolist()
-        nxt_, prv_ = np.arange(1, n + 1), np.arange(-1, n - 1)
-        nxt_[ends - 1] = -1
-        prv_[ends - sizes] = -1
-        nxt, prv = nxt_.tolist(), prv_.tolist()
-        made = self.byte_pairs[raw[:-1].astype(np.int64) * 256 + raw[1:]] if n > 1 else np.zeros(0, np.int64)
-        places = np.flatnonzero((nxt_[:-1] >= 0) & (made < len(self.tokens))) if n > 1 else np.zeros(0, np.int64)
-        order = places[np.argsort(made[places], kind="stable")]
-        found, first = np.unique(made[order], return_index=True)
-        index = {int(r): p.tolist() for r, p in zip(found, np.split(order, first[1:]))} if len(order) else {}
+        sym = self.byte_ids[raw]
+        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt[ends - 1] = -1
+        prv[ends - sizes] = -1
+        now = np.full(n, -1, np.int64)  # the token that the pair beginning here makes
+        if n > 1:
+            now[:-1] = self.byte_pairs[raw[:-1].astype(np.int64) * 256 + raw[1:]]
+        now[(nxt < 0) | (now >= len(self.tokens))] = -1
+        places = np.flatnonzero(now >= 0)
+        order = places[np.argsort(now[places], kind="stable")]
+        found, first = np.unique(now[order], return_index=True)
+        index = {r: [p] for r, p in zip(found.tolist(), np.split(order, first[1:]))} if len(order) else {}
         heap = list(index)
         heapq.heapify(heap)
-        pairs, ranks, tokens = self.pairs, self.ranks, self.tokens
-        if len(pairs) > MEMO:
-            pairs.clear()
-
-        def rank(a: int, b: int) -> int:
-            key = a << 32 | b
-            r = pairs.get(key)
-            if r is None:
-                r = pairs[key] = ranks.get(tokens[a] + tokens[b], -1)
-            return r
-
+        again: set[int] = set()
         while heap:
             r = heapq.heappop(heap)
-            todo = index.pop(r, None)
-            if todo is None:
+            todo = index.pop(r)
+            at = todo[0] if len(todo) == 1 else np.unique(np.concatenate(todo))
+            at = at[now[at] == r]  # an earlier merge may have taken one of the two
+            if not len(at):
                 continue
-            todo.sort()
-            for at, i in enumerate(todo):
-                j = nxt[i]
-                if sym[i] < 0 or j < 0 or rank(sym[i], sym[j]) != r:
-                    continue  # an earlier merge took one of the two
-                k = nxt[j]
-                sym[i], sym[j], nxt[i] = r, -1, k
-                lower = False
-                if k >= 0:
-                    prv[k] = i
-                    q = rank(r, sym[k])
-                    if q >= 0:
-                        lower |= q <= r
-                        if q in index:
-                            index[q].append(i)
-                        else:
-                            index[q] = [i]
-                            heapq.heappush(heap, q)
-                h = prv[i]
-                if h >= 0:
-                    q = rank(sym[h], r)
-                    if q >= 0:
-                        lower |= q <= r
-                        if q in index:
-                            index[q].append(h)
-                        else:
-                            index[q] = [h]
-                            heapq.heappush(heap, q)
-                if lower:
-                    if r in index:
-                        index[r] += todo[at + 1 :]
-                    elif todo[at + 1 :]:
-                        index[r] = todo[at + 1 :]
-                        heapq.heappush(heap, r)
-                    break
-        left = np.array(sym, np.int64)
-        kept = left >= 0
-        upto = np.cumsum(kept)[ends - 1] * 4
-        ids = left[kept].astype("<u4").tobytes()
-        return [ids[a:b] for a, b in zip([0, *upto[:-1].tolist()], upto.tolist())]
-
-    def _learn(self, parts: list[str]) -> dict[str, bytes]:
+            right = nxt[at]
+            chained = right[:-1] == at[1:]
+            if chained.any():  # as in aaaa: of overlapping places every other one
+                i = np.arange(len(at))
+                start = np.maximum.accumulate(np.where(np.concatenate([[True], ~chained]), i, 0))
+                at = at[(i - start) & 1 == 0]
+                right = nxt[at]
+            after = nxt[right]
+            sym[at], sym[right], now[right], now[at], nxt[at] = r, -1, -1, -1, after
+            inner = after >= 0
+            prv[after[inner]] = at[inner]
+            before = prv[at]
+            touched = np.concatenate([at[inner], before[before >= 0]])
+            if not len(touched):
+                continue
+            keys, which = np.unique(sym[touched] << 32 | sym[nxt[touched]], return_inverse=True)
+            made = self._made(keys.tolist())
+            now[touched] = np.array(made)[which]
+            by_key = touched[np.argsort(which, kind="stable")]
+            start = 0
+            for q, end in zip(made, np.cumsum(np.bincount(which)).tolist()):
+                if q >= 0:
+                    if q < r:
+                        again.update(np.searchsorted(ends, by_key[start:end], side="right").tolist())
+                    if q in index:
+                        index[q].append(by_key[start:end])
+                    else:
+                        index[q] = [by_key[start:end]]
+                        heapq.heappush(heap, q)
+                start = end
+        kept = sym >= 0
+        upto = (np.cumsum(kept)[ends - 1] * 4).tolist()
+        ids = sym[kept].astype("<u4").tobytes()
+        out = [ids[a:b] for a, b in zip([0, *upto[:-1]], upto)]
+        for i in again:  # a merge made a pair of lower rank, which comes before the merge's other places in the word
+            out[i] = self._alone(words[i])
+        return out
+
+    def _alone(self, word: bytes) -> bytes:
+        """The ids of one word: the lowest pair, the first of equals, again and again."""
+        parts = [int(self.byte_ids[b]) for b in word]
+        while len(parts) > 1:
+            made = self._made([a << 32 | b for a, b in zip(parts, parts[1:])])
+            r, i = min(((q, i) for i, q in enumerate(made) if q >= 0), default=(-1, 0))
+            if r < 0:
+                break
+            parts[i : i + 2] = [r]
+        return np.array(parts, "<u4").tobytes()
+
+    def _learn(self, parts: list[str]) -> list[bytes]:
         """The ids of text parts, by way of their distinct words."""
-        split = [self.split(p) for p in parts]
-        new = [w for w in set(chain.from_iterable(split)) if w not in self.words]
-        if len(self.words) + len(new) > MEMO:
-            self.words = {}
-            new = list(set(chain.from_iterable(split)))
-        if new:
-            self.words.update(zip(new, self.replay([w.encode("utf-8", "surrogatepass") for w in new])))
-        look = self.words.__getitem__
-        got = {p: b"".join(map(look, s)) for p, s in zip(parts, split)}
-        for w in [w for w in new if len(w) > MEMO_CHARS]:
-            del self.words[w]
-        return got
+        joined = _PART.join(parts)
+        if self.split_parts and joined.count(_PART) == len(parts) - 1:
+            flat = self.split_parts(joined)
+            return self._ids(flat).split(_END)
+        # A text holds the separator itself, or the pattern has no class to keep it out of.
+        return [b"".join(self.replay([w.encode("utf-8", "surrogatepass") for w in self.split(p)])) if p else b"" for p in parts]
+
+    def _ids(self, flat: list[str]) -> bytes:
+        found = list(map(self.words.get, flat))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            new = list({flat[i] for i in missing})
+            got = {}
+            for i in range(0, len(new), WORDS):
+                some = new[i : i + WORDS]
+                got.update(zip(some, self.replay([w.encode("utf-8", "surrogatepass") for w in some])))
+            for i in missing:
+                found[i] = got[flat[i]]
+            if len(self.words) + len(got) > MEMO:
+                self.words = {_PART: _END}
+            self.words.update((w, ids) for w, ids in got.items() if len(w) <= MEMO_CHARS)
+        return b"".join(found)
 
     def _memo(self, name: str, parts: list[str], lead: str) -> list[bytes]:
         memo = getattr(self, name)
         found = list(map(memo.get, parts))
         missing = [i for i, ids in enumerate(found) if ids is None]
         new = list({parts[i] for i in missing})
-        got = dict(zip(new, map(self._learn([lead + p for p in new]).__getitem__, [lead + p for p in new]))) if lead else self._learn(new)
+        got = dict(zip(new, self._learn([lead + p for p in new]))) if new else {}
         for i in missing:
             found[i] = got[parts[i]]
-        if len(memo) + len(got) > MEMO:
+        if len(memo) + len(got) > MEMO // 2:
             memo.clear()
         memo.update((p, ids) for p, ids in got.items() if len(p) <= MEMO_CHARS)
         return found
@@ -185,9 +239,6 @@ class ByteBPE:
             i, j = i + m, j + n
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
 
 def coder(path: str, pattern: str) -> ByteBPE:
     """The worker's coder for a rank file and the pattern that parts words."""
@@ -206,17 +257,23 @@ def encode(df: DataFrame, path: str, pattern: str) -> DataFrame:
         ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(rows), "<i4")))
         return pa.RecordBatch.from_arrays([b.column("doc_id"), ids], names=["doc_id", "ids"])
 
-    return map_text(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, ids array<int>")
+    return map_text(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, ids array<int>", BATCH)
 
 
-def decode(df: DataFrame, path: str, pattern: str) -> DataFrame:
+def decode(df: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and decoded (the bytes) of every row; null ids are none."""
 
     def run(batches):
-        for b in pieces(batches, "ids"):
-            table_of = coder(path, pattern)
-            out = [table_of.decode(ids or ()) for ids in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
+        if path not in _vocabularies:
+            _vocabularies[path] = Vocabulary(path)
+        vocabulary = _vocabularies[path]
+        for b in pieces(batches, "ids", BATCH // 2):
+            lists = b.column("ids").fill_null([])
+            ids = np.asarray(lists.flatten())
+            counts = np.asarray(lists.value_lengths(), np.int64)
+            ends = np.concatenate([[0], np.cumsum(vocabulary.sizes[ids])])[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+            decoded = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends), pa.py_buffer(vocabulary.decode(ids))])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ids"), decoded], names=["doc_id", "ids", "decoded"])
 
     ship(df.sparkSession)
     return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
@@ -226,8 +283,8 @@ def op2_byte_bpe(spark, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again."""
     import public_tokenizers as public
 
-    way = (public.path("byte_bpe_50k.tiktoken"), public.PATTERN)
-    coded = decode(encode(table(spark, sf_dir, "documents"), *way), *way)
+    path = public.path("byte_bpe_50k.tiktoken")
+    coded = decode(encode(table(spark, sf_dir, "documents"), path, public.PATTERN), path)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
