@@ -159,12 +159,13 @@ def test_token_store(spark, odd, none, tmp_path):
 
 
 def test_quality_in_spark(spark, odd, none):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    at = SF.replace("sf0.001", "sf0.01")  # with some hundred labels
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    labels = spark.read.parquet(f"{at}/labels.parquet")
     field = quality.fit(docs, labels)
     rows = quality.score(docs, field).join(labels, "doc_id").collect()
     held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
-    assert sum((r["score"] >= 0.3) == (r["quality"] == 1) for r in held) >= 0.9 * len(held)
+    assert sum((r["score"] >= 0.3) == (r["quality"] == 1) for r in held) >= 0.95 * len(held)
     assert quality.score(odd, field).where("score between 0 and 1").count() == 7
     kept = quality.keep_good(odd, field)
     assert kept.columns == odd.columns and kept.count() == quality.score(odd, field).where("score >= 0.3").count()
