@@ -171,7 +171,7 @@ def tfidf_weights(spark, d):
 
 def cosine_edges(spark, d):
     e = cohesion.edges(cohesion.weights(_merged(spark, d)))
-    return e.select(F.col("doc").alias("conv_id"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.round("sim", 5).alias("sim"))
+    return e.select(F.col("doc").alias("conv_id"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "sim")
 
 
 def components(spark, d):
@@ -436,7 +436,7 @@ ORACLES = {
     "tf": _sql("SELECT conv_id, sec, term, tf FROM tf", "tf"),
     "df": _sql("SELECT conv_id, term, df FROM dfs", "dfs"),
     "tfidf_weights": _sql("SELECT conv_id, sec, term, round(w, 6) AS w FROM w", "w"),
-    "cosine_edges": _sql("SELECT conv_id, a, b, round(sim, 5) AS sim FROM edges", "edges"),
+    "cosine_edges": _sql("SELECT conv_id, a, b, sim FROM edges", "edges"),
     "corpus_stats": _sql(
         "SELECT count(*) AS total_files, count(*) FILTER (NOT r) AS total_concept_files, count(*) FILTER (r) AS total_reserved_files, sum(length(content) - length(replace(content, chr(10), '')))::BIGINT AS total_lines, sum(length(content))::BIGINT AS total_chars, count(*) FILTER (NOT r AND has_fm AND type_text <> '') AS conformant, count(*) FILTER (NOT r AND has_fm AND type_text = '') AS partial, count(*) FILTER (NOT r AND NOT has_fm) AS non_conformant FROM (SELECT *, name IN ('index.md', 'log.md') AS r FROM parsed)",
         "parsed",
