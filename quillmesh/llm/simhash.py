@@ -18,7 +18,7 @@ Hamming distance is verified:
   With 1024 bits: 0.999 at a Jaccard similarity of 0.95, 0.96 at 0.9, 0.79 at
   0.85, 0.57 at 0.8.
 
-A bucket of up to COLD nodes is joined with itself. Larger buckets never are:
+A bucket of up to COLD (COLD_WIDE) nodes is joined with itself. Larger buckets never are:
 at 2 bits every node of such a bucket names the 64 fingerprints one bit away
 and its own; two fingerprints differ in at most 2 bits just if they share such
 a name, and nodes that share one are linked to the smallest of them. Otherwise
@@ -40,7 +40,9 @@ from quillmesh.llm.common import cut, map_text, table, texts
 from quillmesh.llm.components import components
 
 BLOCK = 24
+#: Nodes of a bucket that is joined with itself, where fingerprints differ in up to 2 bits, and in more.
 COLD = 64
+COLD_WIDE = 8
 CHUNK = 1000
 #: Bytes of text in a batch: its hashes take some twenty times as much.
 BATCH = 2 << 20
@@ -175,10 +177,11 @@ def _forest(max_distance: int):
 def links(nodes: DataFrame, bits: int, max_distance: int) -> DataFrame:
     """Links (a, b) that join the same components as all pairs within max_distance do. nodes: node, fp, all distinct; a table."""
     exact = bits == 64 and max_distance <= 2
+    most = COLD if exact else COLD_WIDE
     keyed = nodes.select("node", F.posexplode(F.array(*_keys(bits, exact))).alias("t", "k")).select("node", F.shiftleft(F.col("t").cast("long"), 48).bitwiseOR(F.col("k")).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(keyed.join(shared, "key"))
-    cold = members.where(F.col("n") <= COLD)
+    members = cut(keyed.join(shared.hint("merge"), "key"))  # both grow with the corpus
+    cold = members.where(F.col("n") <= most)
     pairs = cold.select("key", F.col("node").alias("a")).join(cold.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
     found = (
         pairs.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("x")), "a")
@@ -186,7 +189,7 @@ def links(nodes: DataFrame, bits: int, max_distance: int) -> DataFrame:
         .where(_distance(bits // 64) <= max_distance)
         .select("a", "b")
     )
-    hot = members.where(F.col("n") > COLD)
+    hot = members.where(F.col("n") > most)
     if exact:
         crowd = nodes.join(hot.select("node").distinct(), "node").select("node", F.col("fp")[0].alias("w"))
         flips = F.array(F.lit(0).cast("long"), *(F.lit(-(1 << 63) if i == 63 else 1 << i).cast("long") for i in range(64)))
@@ -228,7 +231,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     found = cut(near_duplicates(docs.select("doc_id", "text")).select("doc_id", "component_id"))
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
