@@ -78,9 +78,17 @@ def map_text(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schem
         release()
 
     ship(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most some thousand rows: buffers for whole texts stand beside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:  # the default; a session's own choice stands
+        spark.conf.set(key, "2000")
+
+
 def release() -> None:
     """Hand memory that a task no longer uses back to the system: workers live on, and others share the executor."""
     pa.default_memory_pool().release_unused()

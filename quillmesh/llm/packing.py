@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import cut, map_text, table, texts
-from quillmesh.llm.word_tokens import encoder
+from quillmesh.llm.word_tokens import BATCH, encoder
 
 BINS = 64
 PART = 4
@@ -186,7 +186,7 @@ def cut_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, with_i
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), fields)], names=[n for n, _ in fields])
 
     slim = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_text(slim, run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""))
+    return map_text(slim, run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""), BATCH)
 
 
 def place(rows: DataFrame, capacity: int, by: list[str]) -> DataFrame:

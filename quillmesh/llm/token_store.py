@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import cut, pieces, shared_dir, table, texts
-from quillmesh.llm.word_tokens import encoder
+from quillmesh.llm.word_tokens import BATCH, encoder
 
 # Fixed values of the zstandard and seekable formats.
 SKIPPABLE_KEYS = 0x184D2A50
@@ -129,7 +129,7 @@ def write_store(df: DataFrame, folder: str, tokenizer: str, end_id: int, key: st
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         encode, writer, at = encoder(tokenizer).encode, None, f"{root}/.{part:06d}-{uuid.uuid4().hex}"
-        for b in pieces(batches):
+        for b in pieces(batches, size=BATCH):
             if writer is None:
                 writer = StoreWriter(fs.open_output_stream(at, compression=None))
             for k, ids in zip(b.column("key").to_pylist(), encode(texts(b))):
