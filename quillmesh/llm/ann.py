@@ -28,10 +28,10 @@ NEAR = 32
 PIVOTS = 2048
 ASSIGN = 3
 PART = 800
-ROUNDS = 4
+ROUNDS = 6
 BEAM = 64
-HOPS = 5
-POOL = 320
+HOPS = 7
+POOL = 400
 #: Candidates of a query that are ranked exactly, for each neighbour asked for.
 RERANK = 4
 
