@@ -21,10 +21,10 @@ from itertools import chain
 import numpy as np
 
 #: Words, and parts of words, remembered by a worker: about 200 bytes each.
-MEMO = 250_000
-MEMO_PARTS = 150_000
+MEMO = 700_000
+MEMO_PARTS = 350_000
 #: Bytes of text in a batch: its words take some ten times as much.
-BATCH = 3 << 20
+BATCH = 4 << 20
 #: Longer words are encoded each time they occur.
 MEMO_CHARS = 64
 #: Words given to the library's model as one text.
