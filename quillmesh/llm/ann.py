@@ -2,10 +2,11 @@
 
 Equal vectors are one node (the smallest vec_id). The neighbour graph starts
 from blocks: each vector is dealt to the cells of its ASSIGN nearest pivots (at
-most PIVOTS sampled vectors) and, in parts of about PART, compared within the
-cell. Then NN-descent: every node introduces its neighbours (its own and up to
+most PIVOTS sampled vectors) and compared within the cell, in a cell of more
+than PART within two partings into parts of about PART. Then NN-descent: every node introduces its neighbours (its own and up to
 NEAR that name it, the nearest ones) to each other where one of the two is new,
-in a Spark join of edges with vectors; each node keeps its NEAR best. A search
+in a Spark join of edges with vectors; each node keeps its NEAR best, until at
+most the share SETTLED of all edges is new. A search
 walks that graph: from the query's own node it expands the BEAM best candidates
 not yet expanded, all queries at once in each of HOPS joins.
 
@@ -28,7 +29,8 @@ NEAR = 32
 PIVOTS = 2048
 ASSIGN = 3
 PART = 800
-ROUNDS = 6
+#: Rounds end when this share of the edges, or less, is new.
+SETTLED = 0.001
 BEAM = 64
 HOPS = 7
 POOL = 400
@@ -102,7 +104,10 @@ def _blocks(vectors: DataFrame, near: int) -> DataFrame:
 
     dealt = cut(vectors.select("node", "code").mapInArrow(deal, "cell int, node long, code binary"))
     sizes = dealt.groupBy("cell").count()  # at most PIVOTS rows
-    parts = dealt.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64(F.lit(9), "node"), F.ceil(F.col("count") / PART)).cast("int"))
+    # Each cell parts its vectors in its own way, and twice, so that no set of nodes stays by itself in all of them.
+    many = F.ceil(F.col("count") / PART).cast("int")
+    twice = dealt.join(F.broadcast(sizes), "cell").withColumn("many", many).withColumn("deal", F.explode(F.when(F.col("many") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    parts = twice.withColumn("part", (F.col("deal") * F.col("many") + F.pmod(F.xxhash64(F.lit(9), "cell", "deal", "node"), F.col("many"))).cast("int")).select("cell", "part", "node", "code")
 
     def compare(t: pa.Table) -> pa.Table:
         ids, x = t.column("node").to_numpy(), decode(t.column("code"))
@@ -167,17 +172,17 @@ def _introduce(graph: DataFrame, vectors: DataFrame, near: int) -> DataFrame:
     return met.select("node", "other", "fresh", "code", "low").mapInArrow(run, _EDGE_SQL)
 
 
-def neighbour_graph(vectors: DataFrame, near: int = NEAR, rounds: int = ROUNDS) -> DataFrame:
+def neighbour_graph(vectors: DataFrame, near: int = NEAR, settled: float = SETTLED) -> DataFrame:
     """Edges (node, other, s, fresh) to about the `near` nearest others of each node. vectors: node, code; a table."""
     spark = vectors.sparkSession
     graph = cut(_keep_best(_blocks(vectors, near), near))
-    for _ in range(rounds):
+    while True:  # an edge only ever gives way to a better one, so the rounds end
         seen = graph.withColumn("fresh", F.lit(False))
         graph = cut(_keep_best(seen.unionByName(_introduce(graph, vectors, near)), near))
         spark._jvm.System.gc()  # so that Spark's cleaner drops the round's shuffle files
-        if graph.where("fresh").isEmpty():
-            break
-    return graph
+        fresh, edges = graph.select(F.count(F.when(F.col("fresh"), 1)), F.count("*")).first()
+        if fresh <= settled * edges:
+            return graph
 
 
 _POOL = pa.schema([("node", pa.int64()), ("other", pa.int64()), ("s", pa.float32()), ("state", pa.int8())])
