@@ -225,14 +225,17 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each group of near duplicates (five words, similarity 0.8) the document with the smallest id.
+    """Of each group of near duplicates (five words, exact similarity 0.8 or more) the document with the smallest id.
 
     Documents without an id all stay; of rows that repeat an id one stays.
     """
-    found = cut(near_duplicates(docs.select("doc_id", "text")).select("doc_id", "component_id"))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    from quillmesh.llm.minhash import similar
+
+    found = cut(similar(docs, COLD_WIDE))
+    least = found.groupBy("component").agg(F.min("doc_id").alias("stays"))
+    gone = found.join(least, "component").where("doc_id <> stays").select("doc_id").distinct()
     kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
     return named.unionByName(kept.where("doc_id is null"))
