@@ -61,3 +61,14 @@ def test_table_and_a_large_group(spark, most, monkeypatch):
             words[at] = f"z{i}v{at}"
         docs[10_000_000 + i] = " ".join(words)
     assert kept(spark, docs) == kept_by_brute_force(docs)
+
+
+def test_repeated_lines_and_short_texts(spark):
+    """What texts share counts once, however often it is repeated; few shingles are compared as exactly as many."""
+    line = " ".join(f"l{k}" for k in range(15))
+    docs = {i: " ".join([" ".join(f"d{i}w{k}" for k in range(60)), *[line] * 20]) for i in range(20)}
+    for i in range(100, 160, 2):  # 7 of 9 shingles: 0.778
+        words = [f"s{i}w{k}" for k in range(12)]
+        docs[i], docs[i + 1] = " ".join(words), " ".join([*words[:11], f"x{i}"])
+        assert len(shingles(docs[i]) & shingles(docs[i + 1])) == 7 and len(shingles(docs[i]) | shingles(docs[i + 1])) == 9
+    assert kept(spark, docs) == sorted(docs)
