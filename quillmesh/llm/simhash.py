@@ -227,18 +227,26 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Of each group of near duplicates (five words, exact similarity 0.8 or more) the document with the smallest id.
 
-    Documents without an id all stay; of rows that repeat an id one stays.
+    Documents without an id all stay; of rows that repeat an id one stays, if
+    any of them is the one of its group. An id with rows in several groups
+    stands for a group only where no other id can, so that no group is lost
+    with the rows it repeats.
     """
-    from quillmesh.llm.minhash import similar
+    from quillmesh.llm.minhash import similar, with_node
 
     found = cut(similar(docs, COLD_WIDE))
-    least = found.groupBy("component").agg(F.min("doc_id").alias("stays"))
-    gone = found.join(least, "component").where("doc_id <> stays").select("doc_id").distinct()
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id is null"))
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), (F.min("component") != F.max("component")).alias("torn"))
+    repeated = cut(ids.where("n > 1").select("doc_id", "torn"))
+    if repeated.isEmpty():
+        least = found.groupBy("component").agg(F.min("doc_id").alias("stays"))
+        gone = found.join(least, "component").where("doc_id <> stays").select("doc_id")
+        return docs.join(gone.hint("merge"), "doc_id", "left_anti")
+    rows = found.join(repeated, "doc_id", "left").withColumn("torn", F.coalesce("torn", F.lit(False)))
+    least = rows.groupBy("component").agg(F.min(F.struct("torn", "doc_id"))["doc_id"].alias("stays"))
+    stay = rows.join(least, "component").where("doc_id = stays").select("doc_id", "node").distinct()
+    # The node is that of the text: an id's other rows go.
+    named = with_node(docs.where("doc_id is not null")).join(stay.hint("merge"), ["doc_id", "node"], "left_semi")
+    return named.dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 QUERIES = {"op3_simhash": op3_simhash}

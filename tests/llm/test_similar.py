@@ -72,3 +72,15 @@ def test_repeated_lines_and_short_texts(spark):
         docs[i], docs[i + 1] = " ".join(words), " ".join([*words[:11], f"x{i}"])
         assert len(shingles(docs[i]) & shingles(docs[i + 1])) == 7 and len(shingles(docs[i]) | shingles(docs[i + 1])) == 9
     assert kept(spark, docs) == sorted(docs)
+
+
+def test_ids_repeated_with_other_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(50)) for x in "abc")
+    for rows, want in (
+        ([(3, a), (5, a), (5, b)], [(3, a), (5, b)]),
+        ([(7, a), (7, b), (9, b)], [(7, a), (9, b)]),
+        ([(3, a), (5, a), (5, a), (None, a), (6, c), (6, c)], [(None, a), (3, a), (6, c)]),
+    ):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = [tuple(r) for r in simhash.keep_one(docs).collect()]
+        assert sorted(got, key=lambda r: r[0] or -1) == want
