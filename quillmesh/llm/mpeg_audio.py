@@ -4,8 +4,9 @@
 the first frame header that another of its kind follows, walks from frame to
 frame by their lengths, and searches for the next good header where one is
 missing. It reads ID3v1, ID3v2 and APEv2 tags and Xing, Info and VBRI tables,
-verifies the CRC-16 of protected frames and gives exact durations (samples over
-sample rate) and the byte offset of every frame.
+verifies the CRC-16 of protected layer III frames and gives exact durations
+(samples over sample rate) and the byte offset of every frame. The CRCs of
+layers I and II are not verified: such frames don't count as checked.
 
 `write` makes such a stream around a payload: MPEG-2 layer III frames of 576
 samples whose granule is silent (no bits of Huffman data), so that the rest of
