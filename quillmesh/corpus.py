@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.shipping import ship
+from quillmesh.shipping import ship, spread
 from quillmesh.sources.config import Hygiene, Manifest, Profile, Root, Split, TypeRules
 from quillmesh.sources.tree import with_names
 
@@ -65,7 +65,7 @@ MANIFEST = Manifest(
 def kb_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files relation of that corpus."""
     ship(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     rows = spark.sql(corpus_sql("div").replace("FROM documents", "FROM {docs}"), docs=docs)
     return with_names(rows.withColumn("read_error", F.lit(None).cast("string")))
 

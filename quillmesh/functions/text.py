@@ -11,6 +11,7 @@ import fnmatch
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What headers, code, links, headings and tokens are. The rules are defined by these patterns.
 FRONT = r"(?s)\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*\r?\n?"
 SPACE = r"\s\x1c-\x1f"
 FENCE = rf"(?mdU)^[{SPACE}&&[^\n]]{{0,3}}(?:```|~~~)[^\n]*"
@@ -25,6 +26,11 @@ WORDS = r"[\p{L}\p{N}]+"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
+def once(c: Column) -> Column:
+    """c, evaluated once a row however often it is referred to: the optimiser doesn't copy expressions out of a generator."""
+    return F.explode(F.array(c))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)\A[{SPACE}]+|[{SPACE}]+\z", "")
 
@@ -58,7 +64,8 @@ def mask_code(body: Column) -> Column:
 
 def split_lines(text: Column) -> Column:
     """Lines at every Unicode line end; a last one without text is none."""
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, rf"(?:{LINE_ENDS})\z", ""), LINE_ENDS, -1))
+    whole = F.when(F.substring(text, -1, 1).rlike(LINE_ENDS), F.regexp_replace(text, rf"(?:{LINE_ENDS})\z", "")).otherwise(text)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(whole, LINE_ENDS, -1))
 
 
 def count_lines(text: Column) -> Column:
@@ -67,30 +74,31 @@ def count_lines(text: Column) -> Column:
 
 def headers(masked: Column) -> Column:
     """Level 1 and 2 headings: array of (level, text, line)."""
-    found = F.transform(split_lines(masked), lambda x, i: F.struct(F.length(F.regexp_extract(x, H1_H2, 1)).alias("level"), strip(F.regexp_extract(x, H1_H2, 2)).alias("text"), (i + 1).cast("int").alias("line")))
+    numbered = F.transform(split_lines(masked), lambda x, i: F.struct(x.alias("x"), (i + 1).cast("int").alias("line")))
+    marked = F.filter(numbered, lambda n: n["x"].startswith("#"))
+    found = F.transform(marked, lambda n: F.struct(F.length(F.regexp_extract(n["x"], H1_H2, 1)).alias("level"), strip(F.regexp_extract(n["x"], H1_H2, 2)).alias("text"), n["line"].alias("line")))
     return F.filter(found, lambda h: h["level"] > 0)
 
 
 def wikilinks(masked: Column) -> Column:
     """Array of (raw, target, section, alias); section and alias are null where absent, not where empty."""
-    part = lambda k: F.regexp_extract_all(masked, F.lit(WIKILINK), F.lit(k))
-    zipped = F.arrays_zip(part(0).alias("raw"), part(1).alias("target"), part(2).alias("section"), part(3).alias("alias"))
+    part = lambda raw, k: strip(F.regexp_extract(raw, WIKILINK, k))
     return F.transform(
-        zipped,
-        lambda m: F.struct(
-            m["raw"].alias("raw"),
-            strip(m["target"]).alias("target"),
-            F.when(m["raw"].rlike(r"\A\[\[[^\[\]#|]+#"), strip(m["section"])).alias("section"),
-            F.when(F.instr(m["raw"], "|") > 0, strip(m["alias"])).alias("alias"),
+        F.regexp_extract_all(masked, F.lit(WIKILINK), F.lit(0)),
+        lambda raw: F.struct(
+            raw.alias("raw"),
+            part(raw, 1).alias("target"),
+            F.when(raw.rlike(r"\A\[\[[^\[\]#|]+#"), part(raw, 2)).alias("section"),
+            F.when(F.instr(raw, "|") > 0, part(raw, 3)).alias("alias"),
         ),
     )
 
 
 def mdlinks(masked: Column) -> Column:
     """Array of (text, target, path, is_external); links to an anchor alone are left out."""
-    part = lambda k: F.regexp_extract_all(masked, F.lit(MDLINK), F.lit(k))
-    zipped = F.arrays_zip(part(1).alias("text"), part(2).alias("target"))
-    full = F.transform(zipped, lambda m: F.struct(m["text"].alias("text"), strip(m["target"]).alias("target"), F.substring_index(strip(m["target"]), "#", 1).alias("path")))
+    raws = F.regexp_extract_all(masked, F.lit(MDLINK), F.lit(0))
+    pairs = F.transform(raws, lambda raw: F.struct(F.regexp_extract(raw, MDLINK, 1).alias("text"), strip(F.regexp_extract(raw, MDLINK, 2)).alias("target")))
+    full = F.transform(pairs, lambda m: F.struct(m["text"].alias("text"), m["target"].alias("target"), F.substring_index(m["target"], "#", 1).alias("path")))
     kept = F.filter(full, lambda m: m["path"] != "")
     return F.transform(kept, lambda m: F.struct(m["text"].alias("text"), m["target"].alias("target"), m["path"].alias("path"), m["path"].rlike(r"\A(?:https?|ftp)://").alias("is_external")))
 
@@ -116,9 +124,7 @@ def normal_path(absolute: Column) -> Column:
 
 def glob_regex(pattern: str) -> str:
     """A file-name pattern as a Java expression over the whole path; a star crosses slashes."""
-    body = fnmatch.translate(pattern)
-    body = body.replace("(?>", "(?>").removesuffix(r"\Z").removesuffix(r"\z")
-    return rf"\A(?:{body})\z"
+    return rf"\A(?:{fnmatch.translate(pattern).removesuffix(r"\Z").removesuffix(r"\z")})\z"
 
 
 def excluded(rel_path: Column, patterns: list[str]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
@@ -26,15 +26,22 @@ def resolve_wikilinks(links: DataFrame, index: DataFrame) -> DataFrame:
     return found.select("root_ord", "rel_path", "pos", "raw", "target", "alias", "section", F.col("first_path").alias("resolved_path"), (n == 0).alias("broken"), (n > 1).alias("ambiguous"))
 
 
+def link_path(path: Column) -> Column:
+    """The absolute path that a relative or root-relative link of a file (columns root and dir) means."""
+    return T.normal_path(F.when(path.startswith("/"), F.concat_ws("/", "root", path)).otherwise(F.concat_ws("/", "root", "dir", path)))
+
+
 def mdlinks(rows: DataFrame) -> DataFrame:
     """A row for each Markdown link of parsed rows, in text order, with the absolute path it means."""
     found = rows.select("root_ord", "root", "rel_path", "dir", F.posexplode(T.mdlinks(F.col("masked"))).alias("pos", "link"))
-    whole = F.when(F.col("link.path").startswith("/"), F.concat_ws("/", "root", "link.path")).otherwise(F.concat_ws("/", "root", "dir", "link.path"))
-    return found.select("root_ord", "rel_path", "pos", "link.text", "link.target", "link.is_external", F.when(~F.col("link.is_external"), T.normal_path(whole)).alias("means"))
+    return found.select("root_ord", "rel_path", "pos", "link.text", "link.target", "link.is_external", F.when(~F.col("link.is_external"), link_path(F.col("link.path"))).alias("means"))
 
 
 def resolve_mdlinks(links: DataFrame, paths: DataFrame) -> DataFrame:
-    """Adds broken: an internal link whose path is none of paths (a target outside all roots counts as missing)."""
-    known = paths.select(T.normal_path(F.col("path")).alias("means")).distinct().withColumn("_there", F.lit(True))
-    found = links.join(known, "means", "left")
+    """Adds broken: an internal link whose path is none of paths (a target outside all roots counts as missing).
+
+    External links have scattered keys, which no path equals, so that theirs is no hot one.
+    """
+    known = paths.select(T.normal_path(F.col("path")).alias("_key")).distinct().withColumn("_there", F.lit(True))
+    found = links.withColumn("_key", F.coalesce("means", F.concat(F.lit("-"), F.xxhash64("rel_path", "pos").cast("string")))).join(known, "_key", "left")
     return found.select("root_ord", "rel_path", "pos", "text", "target", "is_external", (~F.col("is_external") & F.col("_there").isNull()).alias("broken"))

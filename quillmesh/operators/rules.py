@@ -1,7 +1,7 @@
 """The rules: each gives findings; enabled ones are united in one plan.
 
-A rule that looks at one file alone is a column, an array of findings, so all of
-them take one pass; link rules and the split rule are joins of their own.
+A rule that looks at one file alone is a column, an array of findings; a link
+rule gives claims, which one join with what exists settles.
 
 A diagnostic is code, tier, severity, file, message; `root_ord`, `parts`,
 `rule_ord` and `pos` order them as the checks run: by file, then core, profile
@@ -10,7 +10,7 @@ A diagnostic is code, tier, severity, file, message; `root_ord`, `parts`,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,6 +27,7 @@ ORDER = ["root_ord", "parts", "rule_ord", "pos"]
 RULES = ("F001", "F002", "R001", "R002", "F101", "F106", "F102", "F105", "S102", "L001", "L003", "L002", "S202", "F201", "R201")
 
 
+EMPTY = "root_ord int, parts array<string>, rule_ord int, pos int, code string, tier string, severity string, file string, message string"
 FINDING = "struct<rule_ord: int, pos: int, code: string, tier: string, severity: string, message: string>"
 
 
@@ -48,27 +49,6 @@ def _each(values: Column, finding) -> Column:
     return F.coalesce(F.transform(values, finding), _none())
 
 
-def emit(rows: DataFrame, *findings: Column) -> DataFrame:
-    """Diagnostics of rules that look at one row: one pass over rows, whatever their number."""
-    found = rows.select("root_ord", "rel_path", F.explode(F.concat(*findings)).alias("x"))
-    return found.select("root_ord", F.split("rel_path", "/").alias("parts"), "x.rule_ord", "x.pos", "x.code", "x.tier", "x.severity", F.col("rel_path").alias("file"), "x.message")
-
-
-def _emit(rows: DataFrame, code: str, message: Column, tier: str, severity: str = "error", pos: Column | None = None, order: int | None = None) -> DataFrame:
-    """Diagnostics of a rule whose rows are findings already."""
-    return rows.select(
-        "root_ord",
-        F.split("rel_path", "/").alias("parts"),
-        F.lit(RULES.index(code) if order is None else order).alias("rule_ord"),
-        (F.lit(0) if pos is None else pos).cast("int").alias("pos"),
-        F.lit(code).alias("code"),
-        F.lit(tier).alias("tier"),
-        F.lit(severity).alias("severity"),
-        F.col("rel_path").alias("file"),
-        message.alias("message"),
-    )
-
-
 def severity_of(level: str) -> str:
     return {"warn": "warning", "error": "error"}[level]
 
@@ -175,31 +155,69 @@ def f201(profile: Profile, level: str) -> Column:
     return _each(_typed(unknown), lambda f, i: _finding("F201", F.concat(F.lit("unknown field in frontmatter: `"), f, F.lit("`")), "hygiene", severity_of(level), i))
 
 
-def wikilink_rules(resolved: DataFrame, refs: frozenset[str], level: str) -> DataFrame:
-    """L001 and L003, in text order: one pass over resolved links."""
-    shown = lambda what: F.concat(F.lit(f"{what} wikilink: [["), F.col("target"), F.lit("]]"))
-    broken = F.col("broken") & (~F.lower("target").isin(sorted(refs)) if refs else F.lit(True))
-    l001 = _if(broken, _finding("L001", shown("broken"), "hygiene", severity_of(level), F.col("pos") * 2))
-    l003 = _if(F.col("ambiguous"), _finding("L003", shown("ambiguous"), "hygiene", severity_of(level), F.col("pos") * 2 + 1))
-    return emit(resolved.where("broken or ambiguous"), l001, l003).withColumn("rule_ord", F.lit(RULES.index("L001")))
-
-
-def l002(resolved: DataFrame, level: str) -> DataFrame:
-    return _emit(resolved.where("broken"), "L002", F.concat(F.lit("broken markdown link: "), F.col("target")), "hygiene", severity_of(level), F.col("pos"))
-
-
-def s202(concepts: DataFrame, hygiene: Hygiene) -> DataFrame:
+def s202(hygiene: Hygiene) -> Column:
     """Cheap gates first; only what passes them is cut into sections."""
     cfg = hygiene.split
-    gated = concepts.where(T.net_lines(F.col("body")) > cfg.min_lines)
+    gate = F.col("core_ok") & (T.net_lines(F.col("body")) > cfg.min_lines)
     if cfg.exempt_types:
-        gated = gated.where(F.col("fm").isNull() | ~F.coalesce(fm_text("type"), F.lit("")).isin(list(cfg.exempt_types)))
+        gate = gate & (F.col("fm").isNull() | ~F.coalesce(fm_text("type"), F.lit("")).isin(list(cfg.exempt_types)))
     if cfg.exempt_paths:
-        gated = gated.where(~T.excluded(F.col("rel_path"), list(cfg.exempt_paths)))
-    rows = gated.select(F.concat_ws(":", F.col("root_ord").cast("string"), "rel_path").alias("doc"), "masked")
-    split = cohesion.cluster_counts(rows, cfg.tau).where("clusters > 1")
-    split = split.select(F.substring_index("doc", ":", 1).cast("int").alias("root_ord"), F.regexp_replace("doc", r"(?s)\A\d+:", "").alias("rel_path"), "clusters")
-    return _emit(split, "S202", F.concat(F.lit("S202 — split candidate ("), F.col("clusters").cast("string"), F.lit(" cohesion clusters)")), "hygiene", severity_of(hygiene.split_candidates))
+        gate = gate & ~T.excluded(F.col("rel_path"), list(cfg.exempt_paths))
+    return cohesion.clusters(F.when(gate, F.col("masked")), cfg.tau)
+
+
+def split_finding(hygiene: Hygiene) -> Column:
+    return _if(F.col("_clusters") > 1, _finding("S202", F.concat(F.lit("S202 — split candidate ("), F.col("_clusters").cast("string"), F.lit(" cohesion clusters)")), "hygiene", severity_of(hygiene.split_candidates)))
+
+
+# What a link refers to, as keys of one relation: stems and absolute paths.
+_STEM, _PATH = "s", "p"
+
+
+def wikilink_claims(level: str) -> Column:
+    """A claim for each wikilink: its message is the target until the lookup tells what it is."""
+    claim = lambda x, i: F.struct(_finding("L001", x["target"], "hygiene", severity_of(level), i * 2).alias("x"), F.concat(F.lit(_STEM), x["target"]).alias("key"))
+    return _claims(T.wikilinks(F.col("masked")), claim)
+
+
+def mdlink_claims(level: str) -> Column:
+    """A claim for each internal Markdown link."""
+    numbered = F.transform(T.mdlinks(F.col("masked")), lambda x, i: F.struct(x.alias("link"), i.alias("i")))
+    inner = F.filter(numbered, lambda n: ~n["link"]["is_external"])
+    claim = lambda n: F.struct(_finding("L002", n["link"]["target"], "hygiene", severity_of(level), n["i"]).alias("x"), F.concat(F.lit(_PATH), links.link_path(n["link"]["path"])).alias("key"))
+    return _claims(inner, claim)
+
+
+def _claims(values: Column, claim) -> Column:
+    return F.coalesce(F.transform(F.when(F.col("core_ok"), values), claim), F.array().cast(f"array<struct<x: {FINDING}, key: string>>"))
+
+
+def settled(claims: DataFrame, known: DataFrame, refs: frozenset[str]) -> DataFrame:
+    """The findings among claims (x and key; null: it stands): unknown targets are broken, stems of several files ambiguous.
+
+    Claims that stand have scattered keys, which nothing bears, so that no key of theirs is hot.
+    """
+    key = F.coalesce("key", F.concat(F.lit("-"), F.xxhash64("rel_path", "x.rule_ord", "x.pos").cast("string")))
+    found = claims.withColumn("_key", key).join(known.withColumnRenamed("key", "_key"), "_key", "left")
+    stem, target, n = F.col("key").startswith(_STEM), F.col("x.message"), F.coalesce("n", F.lit(0))
+    external = F.lower(target).isin(sorted(refs)) if refs else F.lit(False)
+    many = stem & (n > 1)
+    broken = F.col("key").isNotNull() & (n == 0) & ~(stem & external)
+    kept = found.where(F.col("key").isNull() | broken | many)
+    shown = lambda what: F.concat(F.lit(f"{what} wikilink: [["), target, F.lit("]]"))
+    message = F.when(F.col("key").isNull(), target).when(~stem, F.concat(F.lit("broken markdown link: "), target)).when(many, shown("ambiguous")).otherwise(shown("broken"))
+    ambiguous = F.coalesce(many, F.lit(False))
+    return kept.select(
+        "root_ord",
+        F.split("rel_path", "/").alias("parts"),
+        "x.rule_ord",
+        (F.col("x.pos") + ambiguous.cast("int")).alias("pos"),
+        F.when(ambiguous, "L003").otherwise(F.col("x.code")).alias("code"),
+        "x.tier",
+        "x.severity",
+        F.col("rel_path").alias("file"),
+        message.alias("message"),
+    )
 
 
 def r201(paths: DataFrame, roots: Sequence[Root], reserved: dict[str, str], level: str) -> DataFrame:
@@ -208,36 +226,55 @@ def r201(paths: DataFrame, roots: Sequence[Root], reserved: dict[str, str], leve
     wanted = spark.createDataFrame([(n, r.path, f, k) for n, r in enumerate(roots) for k, f in enumerate(reserved.values())], "root_ord int, root string, rel_path string, k int")
     there = paths.select("path").distinct()
     missing = wanted.join(there, T.normal_path(F.concat_ws("/", "root", "rel_path")) == F.col("path"), "left_anti")
-    out = _emit(missing, "R201", F.concat(F.lit("reserved file missing in "), F.col("root"), F.lit(": "), F.col("rel_path")), "hygiene", severity_of(level), F.col("root_ord") * 1000 + F.col("k"))
-    return out.withColumn("root_ord", F.lit(1 << 30)).withColumn("parts", F.array().cast("array<string>"))
+    finding = _finding("R201", F.concat(F.lit("reserved file missing in "), F.col("root"), F.lit(": "), F.col("rel_path")), "hygiene", severity_of(level), F.col("root_ord") * 1000 + F.col("k"))
+    found = missing.select("rel_path", finding.alias("x"))
+    return found.select(F.lit(1 << 30).alias("root_ord"), F.array().cast("array<string>").alias("parts"), "x.rule_ord", "x.pos", "x.code", "x.tier", "x.severity", F.col("rel_path").alias("file"), "x.message")
+
 
+def diagnostics(rows: DataFrame, manifest: Manifest, index: DataFrame, paths: DataFrame | None, *, with_r201: bool = True, only: Collection[str] = RULES) -> DataFrame:
+    """All enabled rules (of `only`) over parsed rows, in one pass over them.
 
-def diagnostics(rows: DataFrame, manifest: Manifest, index: DataFrame, paths: DataFrame | None, *, with_r201: bool = True) -> DataFrame:
-    """All enabled rules over parsed rows: one pass for those that look at one file, one for each kind of link, one for cohesion. A level that is off adds nothing to the plan."""
+    Rules that look at one file, cohesion included, are columns; links become
+    claims that one join with stems and paths settles. A rule that is off adds
+    nothing to the plan.
+    """
     rows = with_kind(rows, manifest.reserved)
-    local = [f001(), f002(), r001(), r002()]
     h, profile = manifest.hygiene, manifest.profile
+    local = {"F001": f001, "F002": f002, "R001": r001, "R002": r002}
     if profile is not None:
-        rows = with_type(rows, profile)
-        local += [f101(), f106(), f102(profile), f105(profile), s102(profile)]
+        if {"F101", "F106", "F102", "F105", "S102", "F201"} & {*only}:
+            rows = with_type(rows, profile)
+        local |= {"F101": f101, "F106": f106, "F102": lambda: f102(profile), "F105": lambda: f105(profile), "S102": lambda: s102(profile)}
         if h is not None and h.unknown_fields != "off":
-            local.append(f201(profile, h.unknown_fields))
-    out = [emit(rows, *local)]
-    fine = rows.where("core_ok")
-    if h is not None:
-        if h.broken_links != "off":
-            wiki = links.resolve_wikilinks(links.wikilinks(fine), index)
-            out.append(wikilink_rules(wiki, manifest.external_refs, h.broken_links))
-            if paths is not None:
-                out.append(l002(links.resolve_mdlinks(links.mdlinks(fine), paths), h.broken_links))
-        if h.split_candidates != "off":
-            out.append(s202(fine, h))
-        if h.reserved_files != "off" and with_r201 and paths is not None:
-            out.append(r201(paths, manifest.roots, manifest.reserved, h.reserved_files))
+            local["F201"] = lambda: f201(profile, h.unknown_fields)
+    if h is not None and {"L001", "L003", "L002", "S202"} & {*only}:
+        rows = rows.select(*(c for c in rows.columns if c != "masked"), T.once(F.col("masked")).alias("masked"))
+    if h is not None and h.split_candidates != "off" and "S202" in only:
+        rows = rows.withColumn("_clusters", s202(h))
+        local["S202"] = lambda: split_finding(h)
+    stands = [F.transform(F.concat(*found), lambda x: F.struct(x.alias("x"), F.lit(None).cast("string").alias("key")))] if (found := [f() for code, f in local.items() if code in only]) else []
+    claims, known = [], []
+    if h is not None and h.broken_links != "off":
+        if {"L001", "L003"} & {*only}:
+            claims.append(wikilink_claims(h.broken_links))
+            known.append(index.select(F.concat(F.lit(_STEM), "stem").alias("key"), "n"))
+        if "L002" in only and paths is not None:
+            claims.append(mdlink_claims(h.broken_links))
+            known.append(paths.select(F.concat(F.lit(_PATH), T.normal_path(F.col("path"))).alias("key"), F.lit(1).cast("long").alias("n")).distinct())
+    every = [*stands, *claims]
+    out = []
+    if every:
+        exploded = rows.select("root_ord", "rel_path", F.explode(F.concat(*every)).alias("_claim")).select("root_ord", "rel_path", "_claim.*")
+        if known:
+            out.append(settled(exploded, reduce(DataFrame.unionByName, known), manifest.external_refs).where(F.col("code").isin(list(only))))
+        else:
+            out.append(exploded.select("root_ord", F.split("rel_path", "/").alias("parts"), "x.rule_ord", "x.pos", "x.code", "x.tier", "x.severity", F.col("rel_path").alias("file"), "x.message"))
+    if h is not None and h.reserved_files != "off" and with_r201 and paths is not None and "R201" in only:
+        out.append(r201(paths, manifest.roots, manifest.reserved, h.reserved_files))
+    if not out:
+        return rows.sparkSession.createDataFrame([], EMPTY)
     return reduce(DataFrame.unionByName, out)
 
 
 def ordered(found: DataFrame) -> DataFrame:
     return found.orderBy(*ORDER)
-
-

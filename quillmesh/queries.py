@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from quillmesh.corpus import MANIFEST, corpus_sql, kb_files, kb_paths
 from quillmesh.functions import text as T
 from quillmesh.operators import cohesion, files, links, listing, rules, stats
+from quillmesh.shipping import spread
 
 _ROOTS = ["/kb/src1", "/kb/src", "/kb"]
 _EXCLUDE = ["src1/**", "*/de/*7.md", "**/d1?.md"]
-PROFILE, HYGIENE = MANIFEST.profile, MANIFEST.hygiene
+HYGIENE = MANIFEST.hygiene
 _DIAGNOSTIC = ["code", "tier", "severity", "file", "message"]
 
 
+def _read(spark, d, name) -> DataFrame:
+    return spread(spark.read.parquet(f"{d}/{name}.parquet"))
+
+
 def _parsed(spark, d) -> DataFrame:
     return files.parsed(kb_files(spark, d))
 
@@ -28,7 +33,7 @@ def _concepts(spark, d) -> DataFrame:
 
 
 def _typed(spark, d) -> DataFrame:
-    return rules.with_type(_concepts(spark, d), PROFILE)
+    return rules.with_type(_concepts(spark, d), MANIFEST.profile)
 
 
 def _wiki(spark, d, rows=None) -> DataFrame:
@@ -45,9 +50,9 @@ def _public(found: DataFrame) -> DataFrame:
     return found.select(*_DIAGNOSTIC)
 
 
-def _all(spark, d) -> DataFrame:
+def _all(spark, d, only=rules.RULES) -> DataFrame:
     kb = kb_files(spark, d)
-    return rules.diagnostics(files.parsed(kb), MANIFEST, links.stem_index(kb), kb_paths(kb))
+    return rules.diagnostics(files.parsed(kb), MANIFEST, links.stem_index(kb), kb_paths(kb), only=only)
 
 
 def _talks(spark, d) -> DataFrame:
@@ -57,7 +62,7 @@ def _talks(spark, d) -> DataFrame:
 
 
 def _merged(spark, d) -> DataFrame:
-    return cohesion.merge_small(cohesion.sections(_talks(spark, d)))
+    return cohesion.merged(_talks(spark, d))
 
 
 def _reserved(rows: DataFrame) -> DataFrame:
@@ -111,11 +116,11 @@ def reserved_labels(spark, d):
 
 
 def net_lines(spark, d):
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.net_lines(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+    return _read(spark, d, "documents").select("doc_id", T.net_lines(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
 
 
 def tokens(spark, d):
-    t = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    t = _read(spark, d, "documents").select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("distinct_n"), F.array_max("t").alias("last_token"))
 
 
@@ -125,7 +130,7 @@ def sections(spark, d):
 
 
 def merged_sections(spark, d):
-    m = _merged(spark, d)
+    m = cohesion.merged_rows(_merged(spark, d))
     return m.select(F.col("doc").alias("conv_id"), F.col("sec").cast("long").alias("sec"), F.size("tokens").cast("long").alias("n_tokens"))
 
 
@@ -145,24 +150,19 @@ def type_resolution(spark, d):
     return _typed(spark, d).select("rel_path", "type_text", "type_key", "by_alias")
 
 
-def _rule(f):
-    return lambda spark, d: _public(f(spark, d))
-
-
-def _one(finding):
-    return _rule(lambda s, d: rules.emit(rules.with_type(_kinds(s, d), PROFILE), finding()))
-
+def _rule(code):
+    def run(spark, d):
+        return _public(_all(spark, d, {code}))
 
-def _wiki_rule(code):
-    return _rule(lambda s, d: rules.wikilink_rules(_wiki(s, d, _concepts(s, d)), MANIFEST.external_refs, "warn").where(F.col("code") == code))
+    return run
 
 
 def tf(spark, d):
-    return cohesion.term_counts(_merged(spark, d)).select(F.col("doc").alias("conv_id"), F.col("sec").cast("long").alias("sec"), "term", "tf")
+    return cohesion.terms(_merged(spark, d)).select(F.col("doc").alias("conv_id"), F.col("sec").cast("long").alias("sec"), "term", "tf")
 
 
 def df(spark, d):
-    return cohesion.term_counts(_merged(spark, d)).groupBy("doc", "term").agg(F.count("*").alias("df")).withColumnRenamed("doc", "conv_id")
+    return cohesion.terms(_merged(spark, d)).groupBy("doc", "term").agg(F.count("*").alias("df")).withColumnRenamed("doc", "conv_id")
 
 
 def tfidf_weights(spark, d):
@@ -170,19 +170,17 @@ def tfidf_weights(spark, d):
 
 
 def cosine_edges(spark, d):
-    e = cohesion.edges(cohesion.weights(_merged(spark, d)))
+    e = cohesion.edges(_merged(spark, d))
     return e.select(F.col("doc").alias("conv_id"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "sim")
 
 
 def components(spark, d):
-    m = _merged(spark, d)
-    c = cohesion.components(m, cohesion.edges(cohesion.weights(m)), 0.03)
+    c = cohesion.components(_merged(spark, d), 0.03)
     return c.groupBy("doc").agg(F.count("*").alias("sections"), F.count_distinct("component").alias("clusters")).withColumnRenamed("doc", "conv_id")
 
 
 def section_components(spark, d):
-    m = _merged(spark, d)
-    c = cohesion.components(m, cohesion.edges(cohesion.weights(m)), 0.03)
+    c = cohesion.components(_merged(spark, d), 0.03)
     return c.select(F.col("doc").alias("conv_id"), F.col("sec").cast("long").alias("sec"), F.col("component").cast("long").alias("component"))
 
 
@@ -265,21 +263,7 @@ QUERIES = {
     "wikilink_resolution": wikilink_resolution,
     "mdlink_resolution": mdlink_resolution,
     "type_resolution": type_resolution,
-    "rule_F001": _one(rules.f001),
-    "rule_F002": _one(rules.f002),
-    "rule_R001": _one(rules.r001),
-    "rule_R002": _one(rules.r002),
-    "rule_F101": _one(rules.f101),
-    "rule_F106": _one(rules.f106),
-    "rule_F102": _one(lambda: rules.f102(PROFILE)),
-    "rule_F105": _one(lambda: rules.f105(PROFILE)),
-    "rule_S102": _one(lambda: rules.s102(PROFILE)),
-    "rule_L001": _wiki_rule("L001"),
-    "rule_L003": _wiki_rule("L003"),
-    "rule_L002": _rule(lambda s, d: rules.l002(_md(s, d, _concepts(s, d)), "warn")),
-    "rule_S202": _rule(lambda s, d: rules.s202(_concepts(s, d), HYGIENE)),
-    "rule_F201": _one(lambda: rules.f201(PROFILE, "warn")),
-    "rule_R201": _rule(lambda s, d: rules.r201(kb_paths(kb_files(s, d)), MANIFEST.roots, MANIFEST.reserved, "error")),
+    **{f"rule_{code}": _rule(code) for code in rules.RULES},
     "tf": tf,
     "df": df,
     "tfidf_weights": tfidf_weights,

@@ -1,4 +1,4 @@
-"""Sending this package to the executors."""
+"""Sending this package to the executors, and small inputs to all of them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -25,3 +25,12 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
     sc.addPyFile(str(to))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table read from fewer files than there are cores, dealt to all cores: a small file is one row group, which one task reads.
+
+    A table of many files, as any large one is, stays as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

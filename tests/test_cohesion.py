@@ -28,7 +28,7 @@ def test_merge_is_the_loop(spark):
     rng = random.Random(3)
     cases = [[rng.choice([0, 1, 3, 6, 25]) for _ in range(rng.randrange(1, 7))] for _ in range(80)]
     texts = ["\n# H\n".join(" ".join(["word"] * n) for n in c) for c in cases]
-    got = cohesion.merge_small(cohesion.sections(docs(spark, texts)), 6).collect()
+    got = cohesion.merged_rows(cohesion.merged(docs(spark, texts), 6)).collect()
     for d, sizes in enumerate(cases):
         mine = [len(r["tokens"]) for r in sorted((r for r in got if r["doc"] == d), key=lambda r: r["sec"])]
         assert mine == [sum(sizes[i] for i in g) for g in loop_merge(sizes, 6)], sizes
@@ -37,10 +37,10 @@ def test_merge_is_the_loop(spark):
 def test_weights_edges_components(spark):
     a, b = "red green blue " * 10, "one two three " * 10
     texts = ["# A\n" + a + "\n# B\n" + b + "\n# C\n" + a, "# A\n" + a + "\n# B\n" + a, "# A\n" + a, ""]
-    merged = cohesion.merge_small(cohesion.sections(docs(spark, texts)))
+    merged = cohesion.merged(docs(spark, texts))
     w = cohesion.weights(merged)
     assert {round(r["w"], 9) for r in w.where("doc = 0 and term = 'red'").collect()} == {round(10 * math.log(1.5), 9)}
-    e = cohesion.edges(w).collect()
+    e = cohesion.edges(merged).collect()
     assert [(r["doc"], r["a"], r["b"], r["sim"]) for r in e] == [(0, 0, 2, 1.0)]
     clusters = {r["doc"]: r["clusters"] for r in cohesion.cluster_counts(docs(spark, texts), 0.15).collect()}
     assert clusters == {0: 2, 1: 2, 2: 1, 3: 1}  # two sections share only terms that weigh nothing
@@ -50,10 +50,10 @@ def test_components_partition_sections(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(40)]
     texts = ["\n# H\n".join(" ".join(rng.choices(words, k=25)) for _ in range(6)) for _ in range(5)]
-    merged = cohesion.merge_small(cohesion.sections(docs(spark, texts)))
-    pairs = cohesion.edges(cohesion.weights(merged))
-    got = {(r["doc"], r["sec"]): r["component"] for r in cohesion.components(merged, pairs, 0.3).collect()}
-    assert set(got) == {(r["doc"], r["sec"]) for r in merged.select("doc", "sec").collect()}
+    merged = cohesion.merged(docs(spark, texts))
+    pairs = cohesion.edges(merged)
+    got = {(r["doc"], r["sec"]): r["component"] for r in cohesion.components(merged, 0.3).collect()}
+    assert set(got) == {(r["doc"], r["sec"]) for r in cohesion.merged_rows(merged).select("doc", "sec").collect()}
     for r in pairs.collect():
         if r["sim"] > 0.3:
             assert got[r["doc"], r["a"]] == got[r["doc"], r["b"]]
