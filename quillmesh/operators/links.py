@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmesh.functions import text as T
 
+#: A column of paths (null: none) -> whether something is there.
+Probe = Callable[[Column], Column]
+
 
 def stem_index(files: DataFrame) -> DataFrame:
     """stem, n and first_path: how many files bear a stem, and the first in root and path order."""
@@ -37,11 +42,23 @@ def mdlinks(rows: DataFrame) -> DataFrame:
     return found.select("root_ord", "rel_path", "pos", "link.text", "link.target", "link.is_external", F.when(~F.col("link.is_external"), link_path(F.col("link.path"))).alias("means"))
 
 
-def resolve_mdlinks(links: DataFrame, paths: DataFrame) -> DataFrame:
-    """Adds broken: an internal link whose path is none of paths (a target outside all roots counts as missing).
+def outside(path: Column, roots: Sequence[str]) -> Column:
+    """The path if it is under none of the roots, else null."""
+    under = F.lit(False)
+    for r in roots:
+        under = under | (path == r) | path.startswith(r.rstrip("/") + "/")
+    return F.when(~under, path)
+
+
+def resolve_mdlinks(links: DataFrame, paths: DataFrame, roots: Sequence[str] = (), probe: Probe | None = None) -> DataFrame:
+    """Adds broken: an internal link whose path is none of paths; one outside all roots is looked up by `probe`, else missing.
 
     External links have scattered keys, which no path equals, so that theirs is no hot one.
     """
     known = paths.select(T.normal_path(F.col("path")).alias("_key")).distinct().withColumn("_there", F.lit(True))
     found = links.withColumn("_key", F.coalesce("means", F.concat(F.lit("-"), F.xxhash64("rel_path", "pos").cast("string")))).join(known, "_key", "left")
-    return found.select("root_ord", "rel_path", "pos", "text", "target", "is_external", (~F.col("is_external") & F.col("_there").isNull()).alias("broken"))
+    missing = ~F.col("is_external") & F.col("_there").isNull()
+    if probe is not None:
+        found = found.withColumn("_else", probe(F.when(missing, outside(F.col("means"), roots))))
+        missing = missing & ~F.col("_else")
+    return found.select("root_ord", "rel_path", "pos", "text", "target", "is_external", missing.alias("broken"))

@@ -77,9 +77,11 @@ def f002() -> Column:
     return _if((F.col("kind") == "concept") & type_is_missing(), _finding("F002", F.lit("`type` field absent or empty"), "core"))
 
 
-def r001() -> Column:
+def r001(roots: Sequence[Root]) -> Column:
+    """A header in an index file; one of the top of any root may give the version."""
+    at_root = F.concat_ws("/", "root", F.when(F.col("dir") != "", F.col("dir"))).isin([r.path.rstrip("/") for r in roots])
     extra = F.size(F.array_except("fm.keys", F.array(F.lit("okf_version")))) > 0
-    bad = (F.col("kind") == "index") & F.col("fm").isNotNull() & ((F.col("depth") > 0) | extra)
+    bad = (F.col("kind") == "index") & F.col("fm").isNotNull() & (~at_root | extra)
     return _if(bad, _finding("R001", F.lit("frontmatter forbidden in index.md (only `okf_version` allowed at root)"), "core"))
 
 
@@ -192,17 +194,23 @@ def _claims(values: Column, claim) -> Column:
     return F.coalesce(F.transform(F.when(F.col("core_ok"), values), claim), F.array().cast(f"array<struct<x: {FINDING}, key: string>>"))
 
 
-def settled(claims: DataFrame, known: DataFrame, refs: frozenset[str]) -> DataFrame:
+def settled(claims: DataFrame, known: DataFrame, manifest: Manifest, probe: links.Probe | None = None) -> DataFrame:
     """The findings among claims (x and key; null: it stands): unknown targets are broken, stems of several files ambiguous.
 
+    Paths outside all roots are looked up by `probe`, else they count as missing.
     Claims that stand have scattered keys, which nothing bears, so that no key of theirs is hot.
     """
     key = F.coalesce("key", F.concat(F.lit("-"), F.xxhash64("rel_path", "x.rule_ord", "x.pos").cast("string")))
     found = claims.withColumn("_key", key).join(known.withColumnRenamed("key", "_key"), "_key", "left")
     stem, target, n = F.col("key").startswith(_STEM), F.col("x.message"), F.coalesce("n", F.lit(0))
-    external = F.lower(target).isin(sorted(refs)) if refs else F.lit(False)
+    refs = sorted(manifest.external_refs)
+    external = F.lower(target).isin(refs) if refs else F.lit(False)
     many = stem & (n > 1)
     broken = F.col("key").isNotNull() & (n == 0) & ~(stem & external)
+    if probe is not None:
+        elsewhere = links.outside(F.substr("key", F.lit(2)), [r.path for r in manifest.roots])
+        found = found.withColumn("_else", probe(F.when(broken & ~stem, elsewhere)))
+        broken = broken & ~F.col("_else")
     kept = found.where(F.col("key").isNull() | broken | many)
     shown = lambda what: F.concat(F.lit(f"{what} wikilink: [["), target, F.lit("]]"))
     message = F.when(F.col("key").isNull(), target).when(~stem, F.concat(F.lit("broken markdown link: "), target)).when(many, shown("ambiguous")).otherwise(shown("broken"))
@@ -231,7 +239,7 @@ def r201(paths: DataFrame, roots: Sequence[Root], reserved: dict[str, str], leve
     return found.select(F.lit(1 << 30).alias("root_ord"), F.array().cast("array<string>").alias("parts"), "x.rule_ord", "x.pos", "x.code", "x.tier", "x.severity", F.col("rel_path").alias("file"), "x.message")
 
 
-def diagnostics(rows: DataFrame, manifest: Manifest, index: DataFrame, paths: DataFrame | None, *, with_r201: bool = True, only: Collection[str] = RULES) -> DataFrame:
+def diagnostics(rows: DataFrame, manifest: Manifest, index: DataFrame, paths: DataFrame | None, *, with_r201: bool = True, only: Collection[str] = RULES, probe: links.Probe | None = None) -> DataFrame:
     """All enabled rules (of `only`) over parsed rows, in one pass over them.
 
     Rules that look at one file, cohesion included, are columns; links become
@@ -240,7 +248,7 @@ def diagnostics(rows: DataFrame, manifest: Manifest, index: DataFrame, paths: Da
     """
     rows = with_kind(rows, manifest.reserved)
     h, profile = manifest.hygiene, manifest.profile
-    local = {"F001": f001, "F002": f002, "R001": r001, "R002": r002}
+    local = {"F001": f001, "F002": f002, "R001": lambda: r001(manifest.roots), "R002": r002}
     if profile is not None:
         if {"F101", "F106", "F102", "F105", "S102", "F201"} & {*only}:
             rows = with_type(rows, profile)
@@ -266,7 +274,7 @@ def diagnostics(rows: DataFrame, manifest: Manifest, index: DataFrame, paths: Da
     if every:
         exploded = rows.select("root_ord", "rel_path", F.explode(F.concat(*every)).alias("_claim")).select("root_ord", "rel_path", "_claim.*")
         if known:
-            out.append(settled(exploded, reduce(DataFrame.unionByName, known), manifest.external_refs).where(F.col("code").isin(list(only))))
+            out.append(settled(exploded, reduce(DataFrame.unionByName, known), manifest, probe).where(F.col("code").isin(list(only))))
         else:
             out.append(exploded.select("root_ord", F.split("rel_path", "/").alias("parts"), "x.rule_ord", "x.pos", "x.code", "x.tier", "x.severity", F.col("rel_path").alias("file"), "x.message"))
     if h is not None and h.reserved_files != "off" and with_r201 and paths is not None and "R201" in only:

@@ -5,13 +5,16 @@ from __future__ import annotations
 import datetime
 import json
 import os
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import TextIO
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.operators import files, links, rules, stats
 from quillmesh.sources.config import DEFAULT_RESERVED, Manifest, Root
-from quillmesh.sources.tree import as_files, as_paths, read_tree
+from quillmesh.sources.tree import as_files, as_paths, exists, read_tree
 
 
 def file_reports(parsed: DataFrame, wiki: DataFrame, md: DataFrame, found: DataFrame, reserved: dict[str, str]) -> DataFrame:
@@ -31,8 +34,36 @@ def file_reports(parsed: DataFrame, wiki: DataFrame, md: DataFrame, found: DataF
     return out.withColumn("split_candidate", F.exists("diagnostics", lambda x: x["code"] == "S202"))
 
 
-def run_audit(spark: SparkSession, roots: list[Root], vault_roots: list[str] | None = None, manifest: Manifest | None = None, target: str | None = None, index: DataFrame | None = None) -> dict:
-    """The audit report. The stem index comes from vault_roots without exclusions; missing reserved files are not its matter."""
+@dataclass
+class Audit:
+    """A report: its totals, and the files' rows as JSON texts, in order."""
+
+    head: dict
+    lines: DataFrame  # order keys and line
+
+    def files(self) -> Iterator[dict]:
+        """The files' reports, a partition at a time."""
+        for r in self.lines.orderBy("root_ord", "parts").select("line").toLocalIterator():
+            f = json.loads(r["line"])
+            f["frontmatter"] = None if f["frontmatter"] is None else json.loads(f["frontmatter"])
+            yield f
+
+    def as_dict(self) -> dict:
+        return {**self.head, "files": list(self.files())}
+
+    def dump(self, out: TextIO) -> None:
+        """The report as JSON; no more than a partition of the files' rows is held."""
+        out.write(json.dumps(self.head, indent=2, ensure_ascii=False)[:-2] + ',\n  "files": [')
+        for n, f in enumerate(self.files()):
+            out.write((",\n    " if n else "\n    ") + json.dumps(f, ensure_ascii=False))
+        out.write("]\n}")
+
+
+def run_audit(spark: SparkSession, roots: list[Root], vault_roots: list[str] | None = None, manifest: Manifest | None = None, target: str | None = None, index: DataFrame | None = None) -> Audit:
+    """The audit report. The stem index comes from vault_roots without exclusions; missing reserved files are not its matter.
+
+    Without a manifest only the core rules are checked.
+    """
     places = vault_roots or [r.path for r in roots]
     entries = read_tree(spark, [r.path for r in roots])
     rows = as_files(entries, tuple(roots))
@@ -44,52 +75,52 @@ def run_audit(spark: SparkSession, roots: list[Root], vault_roots: list[str] | N
     reserved = manifest.reserved if manifest else DEFAULT_RESERVED
     parsed = files.parsed(rows).persist()
     stems = links.stem_index(every) if index is None else index
-    paths = as_paths(entries)
-    wiki, md = links.resolve_wikilinks(links.wikilinks(parsed), stems), links.resolve_mdlinks(links.mdlinks(parsed), paths)
+    paths, places_read = as_paths(entries), [r.path for r in roots]
+    wiki, md = links.resolve_wikilinks(links.wikilinks(parsed), stems), links.resolve_mdlinks(links.mdlinks(parsed), paths, places_read, exists)
     bare = manifest or Manifest(roots=tuple(roots), reserved=reserved)
-    found = rules.diagnostics(parsed, bare, stems, paths, with_r201=False).persist()
-    if manifest is None:  # without a manifest only reserved files are checked
-        found = found.where(F.col("code").isin("R001", "R002"))
-    reports = file_reports(parsed, wiki, md, found, reserved).orderBy("root_ord", F.split("rel_path", "/"))
-    lines = [json.loads(r[0]) for r in reports.select(F.to_json(F.struct(*reports.columns), {"ignoreNullFields": "false"})).collect()]
-    for r in lines:
-        r["path"] = r.pop("rel_path")
-        r.pop("root_ord")
-        r["frontmatter"] = None if r["frontmatter"] is None else json.loads(r["frontmatter"])
+    found = rules.diagnostics(parsed, bare, stems, paths, with_r201=False, probe=exists).persist()
+    reports = file_reports(parsed, wiki, md, found, reserved).withColumnRenamed("rel_path", "path").persist()
+    whole = F.to_json(F.struct("path", *(c for c in reports.columns if c not in ("root_ord", "path"))), {"ignoreNullFields": "false"})
     totals = stats.corpus_stats(files.metrics(parsed, list(reserved.values()))).first().asDict()
     by_status = {s: totals.pop(s) for s in stats.STATUSES}
     summary: dict = {"by_severity": dict.fromkeys(stats.SEVERITIES, 0), "by_tier": dict.fromkeys(stats.TIERS, 0), "by_code": {}}
-    for r in stats.diagnostics_summary(found).collect():
+    for r in stats.diagnostics_summary(found).collect():  # a row for each severity, tier and code
         summary[f"by_{r['kind']}"][r["value"]] = r["n"]
     counts = {r["root"]: r["file_count"] for r in stats.root_counts(parsed, [r.path for r in roots]).collect()}
-    report = {
-        "generated_at": datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ"),
+    head = {
+        "generated_at": datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%S"),
         "bundle_paths": [r.path for r in roots],
         "vault_paths": places,
         "roots": [{"path": r.path, "file_count": counts[r.path]} for r in roots],
-        "stats": {**totals, "by_okf_status": by_status, **stats.link_counts(wiki, md).first().asDict(), "split_candidates": sum(r["split_candidate"] for r in lines), "vault_total_files": every.count()},
+        "stats": {**totals, "by_okf_status": by_status, **stats.link_counts(wiki, md).first().asDict(), "split_candidates": reports.where("split_candidate").count(), "vault_total_files": every.count()},
         "diagnostics_summary": summary,
-        "files": lines,
     }
-    found.unpersist()
-    parsed.unpersist()
-    return report
+    return Audit(head, reports.select("root_ord", F.split("path", "/").alias("parts"), whole.alias("line")))
 
 
-def roll_up(reports: list[dict]) -> dict:
+def roll_up(heads: list[dict]) -> dict:
     """The sums of bundles' statistics."""
     names = ("total_files", "total_concept_files", "total_wikilinks", "broken_wikilinks", "total_markdown_links", "broken_markdown_links", "split_candidates")
-    out: dict = {n: sum(r["stats"][n] for r in reports) for n in names}
-    out["by_okf_status"] = {s: sum(r["stats"]["by_okf_status"].get(s, 0) for r in reports) for s in stats.STATUSES}
+    out: dict = {n: sum(h["stats"][n] for h in heads) for n in names}
+    out["by_okf_status"] = {s: sum(h["stats"]["by_okf_status"].get(s, 0) for h in heads) for s in stats.STATUSES}
     return out
 
 
-def write_report(report: dict, suffix: str = "audit", folder: str = ".quillmesh") -> str:
-    """Writes the report under the first free version of today's name."""
+def write_report(dump: Callable[[TextIO], None], suffix: str = "audit", folder: str = ".quillmesh") -> str:
+    """Writes a report under the first free version of today's name."""
     os.makedirs(folder, exist_ok=True)
     today, v = datetime.date.today().isoformat(), 1
     while os.path.exists(at := os.path.join(folder, f"{today}_{suffix}_v{v}.json")):
         v += 1
     with open(at, "w", encoding="utf-8") as f:
-        json.dump(report, f, indent=2, ensure_ascii=False)
+        dump(f)
     return at
+
+
+def dump_all(audits: list[Audit], out: TextIO) -> None:
+    """The reports of a vault's bundles as one JSON object."""
+    out.write('{"reports": [')
+    for n, a in enumerate(audits):
+        out.write(",\n" if n else "\n")
+        a.dump(out)
+    out.write("\n]}")

@@ -23,9 +23,8 @@ def run_index(spark: SparkSession, manifest: Manifest) -> DataFrame:
     return changed.select(path.alias("path"), "expected", listing.unified_diff("content", "expected", path).alias("diff")).orderBy("path")
 
 
-def apply(rows: list[Row]) -> list[str]:
-    """Writes collected rows of run_index(); their paths."""
-    for r in rows:
-        with open(r["path"], "w", encoding="utf-8") as f:
-            f.write(r["expected"])
-    return [r["path"] for r in rows]
+def write(row: Row) -> str:
+    """Writes a row of run_index(); its path."""
+    with open(row["path"], "w", encoding="utf-8") as f:
+        f.write(row["expected"])
+    return row["path"]

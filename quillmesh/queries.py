@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quillmesh.corpus import MANIFEST, corpus_sql, kb_files, kb_paths
 from quillmesh.functions import text as T
 from quillmesh.operators import cohesion, files, links, listing, rules, stats
+from quillmesh.plans import audit, validate
 from quillmesh.shipping import spread
+from quillmesh.sources.config import Manifest, Root
 
 _ROOTS = ["/kb/src1", "/kb/src", "/kb"]
 _EXCLUDE = ["src1/**", "*/de/*7.md", "**/d1?.md"]
@@ -91,6 +93,10 @@ def root_assignment(spark, d):
     return files.assign_root(paths, _ROOTS)
 
 
+def mask_code(spark, d):
+    return _parsed(spark, d).select("rel_path", "masked")
+
+
 def mask_code_lines(spark, d):
     return _parsed(spark, d).select("rel_path", F.length("masked").cast("long").alias("chars"), F.length(F.regexp_replace("masked", r"\s", "")).cast("long").alias("marks"))
 
@@ -99,6 +105,11 @@ def headers_h1h2(spark, d):
     return _parsed(spark, d).select("rel_path", F.explode(T.headers(F.col("masked"))).alias("h")).groupBy("rel_path").agg(F.count("*").alias("n"), F.count_if(F.col("h.level") == 1).alias("h1"), F.max("h.line").cast("long").alias("last_line"))
 
 
+def headers(spark, d):
+    found = _parsed(spark, d).select("rel_path", F.explode(T.headers(F.col("masked"))).alias("h"))
+    return found.select("rel_path", F.col("h.level").cast("long").alias("level"), F.col("h.text").alias("title"), F.col("h.line").cast("long").alias("line"))
+
+
 def wikilinks_extract(spark, d):
     return links.wikilinks(_parsed(spark, d)).select("rel_path", F.col("pos").cast("long").alias("pos"), "raw", "target", "section", "alias")
 
@@ -121,7 +132,7 @@ def net_lines(spark, d):
 
 def tokens(spark, d):
     t = _read(spark, d, "documents").select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t"))
-    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("distinct_n"), F.array_max("t").alias("last_token"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("distinct_n"), F.array_max("t").alias("last_token"), F.array_join("t", " ").alias("joined"))
 
 
 def sections(spark, d):
@@ -129,9 +140,14 @@ def sections(spark, d):
     return s.groupBy("doc").agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("n_tokens"), F.max("line").cast("long").alias("last_line"))
 
 
+def section_rows(spark, d):
+    s = cohesion.sections(_parsed(spark, d).select(F.col("rel_path").alias("doc"), "masked"))
+    return s.select("doc", F.col("idx").cast("long").alias("idx"), "title", F.col("level").cast("long").alias("level"), F.col("line").cast("long").alias("line"), "body", F.array_join("tokens", " ").alias("joined"))
+
+
 def merged_sections(spark, d):
     m = cohesion.merged_rows(_merged(spark, d))
-    return m.select(F.col("doc").alias("conv_id"), F.col("sec").cast("long").alias("sec"), F.size("tokens").cast("long").alias("n_tokens"))
+    return m.select(F.col("doc").alias("conv_id"), F.col("sec").cast("long").alias("sec"), F.size("tokens").cast("long").alias("n_tokens"), "title", F.array_join("tokens", " ").alias("joined"))
 
 
 def stem_index(spark, d):
@@ -142,6 +158,10 @@ def wikilink_resolution(spark, d):
     return _wiki(spark, d).groupBy("rel_path").agg(F.count("*").alias("total"), F.count_if("broken").alias("broken"), F.count_if("ambiguous").alias("ambiguous"))
 
 
+def wikilink_targets(spark, d):
+    return _wiki(spark, d).select("rel_path", F.col("pos").cast("long").alias("pos"), "target", "resolved_path", "broken", "ambiguous")
+
+
 def mdlink_resolution(spark, d):
     return _md(spark, d).select("rel_path", "target", "is_external", "broken")
 
@@ -150,6 +170,41 @@ def type_resolution(spark, d):
     return _typed(spark, d).select("rel_path", "type_text", "type_key", "by_alias")
 
 
+def target_selection(spark, d):
+    """Files of overlapping targets under overlapping roots: once for each target, under the first root that holds them."""
+    outer = kb_files(spark, d).select("root_ord", "root", "rel_path", F.lit(False).alias("is_dir"), "content", "read_error")
+    inner = outer.where(F.col("rel_path").startswith("src1/")).select(F.lit(0).alias("root_ord"), F.lit("/kb/src1").alias("root"), F.substring("rel_path", 6, 1 << 30).alias("rel_path"), "is_dir", "content", "read_error")
+    roots = (Root("/kb/src1", ("en/*7.md",)), Root("/kb", ("src2/*",)))
+    entries = inner.unionByName(outer.withColumn("root_ord", F.lit(1)))
+    rows = validate.selected(entries, Manifest(roots, MANIFEST.reserved), ["/kb/src1", "/kb/src1/en", "/kb"])
+    return rows.select(F.col("root_ord").cast("long").alias("root_ord"), "rel_path", "stem")
+
+
+def union_index(spark, d):
+    """The stem index over bundles, one for each source."""
+    kb = kb_files(spark, d)
+    bundles = kb.select(F.substring_index("rel_path", "/", 1).alias("root_ord"), F.regexp_replace("rel_path", r"\A[^/]*/", "").alias("rel_path"), "stem")
+    return links.stem_index(bundles)
+
+
+def file_reports(spark, d):
+    kb = kb_files(spark, d)
+    parsed, index, paths = files.parsed(kb), links.stem_index(kb), kb_paths(kb)
+    wiki, md = links.resolve_wikilinks(links.wikilinks(parsed), index), links.resolve_mdlinks(links.mdlinks(parsed), paths)
+    r = audit.file_reports(parsed, wiki, md, rules.diagnostics(parsed, MANIFEST, index, paths, with_r201=False), MANIFEST.reserved)
+    joined = lambda name, f: F.array_join(F.transform(name, f), " ")
+    return r.select(
+        "rel_path",
+        *(F.col(c).cast("long").alias(c) for c in ("depth", "lines", "chars")),
+        "is_reserved",
+        "okf_status",
+        joined("wikilinks", lambda x: F.concat(x["raw"], F.when(x["broken"], "!").otherwise(""), F.when(x["ambiguous"], "?").otherwise(""))).alias("wikilinks"),
+        joined("markdown_links", lambda x: F.concat(x["target"], F.when(x["broken"], "!").otherwise(""))).alias("markdown_links"),
+        F.array_join(F.array_sort(F.transform("diagnostics", lambda x: F.concat_ws(" ", x["code"], x["message"]))), "; ").alias("diagnostics"),
+        "split_candidate",
+    )
+
+
 def _rule(code):
     def run(spark, d):
         return _public(_all(spark, d, {code}))
@@ -249,7 +304,9 @@ QUERIES = {
     "excluded_paths": excluded_paths,
     "target_filter": target_filter,
     "root_assignment": root_assignment,
+    "mask_code": mask_code,
     "mask_code_lines": mask_code_lines,
+    "headers": headers,
     "headers_h1h2": headers_h1h2,
     "wikilinks_extract": wikilinks_extract,
     "mdlinks_extract": mdlinks_extract,
@@ -258,7 +315,12 @@ QUERIES = {
     "net_lines": net_lines,
     "tokens": tokens,
     "sections": sections,
+    "section_rows": section_rows,
     "merged_sections": merged_sections,
+    "target_selection": target_selection,
+    "union_index": union_index,
+    "file_reports": file_reports,
+    "wikilink_targets": wikilink_targets,
     "stem_index": stem_index,
     "wikilink_resolution": wikilink_resolution,
     "mdlink_resolution": mdlink_resolution,
@@ -305,6 +367,8 @@ _COMMON = {
         FROM fm""",
     # The corpus has one fence, at the end of each file, and one inline span.
     "safe": r"SELECT *, regexp_replace(regexp_replace(body, '(?s)\n```\n.*\n```\n$', chr(10)), '`[^`\n]+`', '', 'g') AS masked FROM parsed",
+    "blank": r"""SELECT rel_path, array_to_string(list_transform(list_zip(regexp_split_to_array(b, '`[^`\n]+`'), regexp_extract_all(b, '`[^`\n]+`')), lambda z: z[1] || repeat(' ', coalesce(length(z[2]), 0))), '') || regexp_replace(f, '[^\n]', ' ', 'g') AS masked
+        FROM (SELECT rel_path, regexp_extract(body, '(?s)\n(```\n.*\n```\n)$', 1) AS f, substr(body, 1, length(body) - length(regexp_extract(body, '(?s)\n(```\n.*\n```\n)$', 1))) AS b FROM parsed)""",
     "concept": "SELECT * FROM safe WHERE name NOT IN ('index.md', 'log.md')",
     "fine": "SELECT * FROM concept WHERE has_fm AND type_text <> ''",
     "typed": "SELECT *, CASE WHEN lower(type_text) IN ('decision', 'adr') THEN 'Decision' WHEN lower(type_text) = 'journal' THEN 'Journal' END AS type_key, lower(type_text) = 'adr' AS by_alias FROM fine",
@@ -325,7 +389,7 @@ _COMMON = {
     "summed": "SELECT *, len(toks) AS n, sum(len(toks)) OVER (PARTITION BY conv_id ORDER BY idx) AS cum FROM turn_tokens",
     "headed": "SELECT *, min(CASE WHEN cum >= 20 THEN idx END) OVER (PARTITION BY conv_id) AS head FROM summed",
     "grouped": "SELECT *, sum(CASE WHEN head IS NOT NULL AND idx > head AND n >= 20 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY idx) AS sec FROM headed",
-    "merged": "SELECT conv_id, sec, flatten(list(toks ORDER BY idx)) AS toks FROM grouped GROUP BY conv_id, sec",
+    "merged": "SELECT conv_id, sec, flatten(list(toks ORDER BY idx)) AS toks, CASE WHEN coalesce(CASE WHEN sec = 0 THEN max(head) END, CASE WHEN sec = 0 THEN max(idx) ELSE min(idx) END) > 0 THEN 'Turn' END AS title FROM grouped GROUP BY conv_id, sec",
     "tf": "SELECT conv_id, sec, term, count(*) AS tf FROM (SELECT conv_id, sec, unnest(toks) AS term FROM merged) GROUP BY ALL",
     "dfs": "SELECT conv_id, term, count(*) AS df FROM tf GROUP BY ALL",
     "sizes": "SELECT conv_id, count(*) AS n FROM merged GROUP BY conv_id",
@@ -406,12 +470,33 @@ ORACLES = {
     "file_metrics": _sql("SELECT rel_path, length(rel_path) - length(replace(rel_path, '/', '')) AS depth, length(content) - length(replace(content, chr(10), '')) AS lines, length(content) AS chars FROM kb", "kb"),
     "reserved_labels": _sql("SELECT name IN ('index.md', 'log.md') AS is_reserved, count(*) AS n FROM named GROUP BY 1", "named"),
     "net_lines": "SELECT doc_id, len(list_filter(str_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')) AS n FROM documents",
-    "tokens": r"SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS distinct_n, list_max(t) AS last_token FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+'), lambda x: length(x) >= 2) AS t FROM documents)",
+    "tokens": r"SELECT doc_id, len(t) AS n, len(list_distinct(t)) AS distinct_n, list_max(t) AS last_token, array_to_string(t, ' ') AS joined FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+'), lambda x: length(x) >= 2) AS t FROM documents)",
     "sections": _sql(
         r"SELECT doc, count(DISTINCT idx) AS n, sum(len(list_filter(regexp_extract_all(lower(CASE WHEN is_head THEN '' ELSE line END), '[\p{L}\p{N}]+'), lambda x: length(x) >= 2))) AS n_tokens, max(CASE WHEN is_head THEN i ELSE 1 END) AS last_line FROM (SELECT *, sum(is_head::INT) OVER (PARTITION BY doc ORDER BY i) AS idx FROM (SELECT *, regexp_matches(line, '^#{1,6}\s+.+$') AS is_head FROM (SELECT rel_path AS doc, unnest(str_split(masked, chr(10))) AS line, generate_subscripts(str_split(masked, chr(10)), 1) AS i FROM safe) UNION ALL SELECT rel_path, '', 0, FALSE FROM safe)) GROUP BY doc",
         "safe",
     ),
-    "merged_sections": _sql("SELECT conv_id, sec, len(toks) AS n_tokens FROM merged", "merged"),
+    "merged_sections": _sql("SELECT conv_id, sec, len(toks) AS n_tokens, title, array_to_string(toks, ' ') AS joined FROM merged", "merged"),
+    "mask_code": _sql("SELECT rel_path, masked FROM blank", "blank"),
+    "headers": _sql(
+        r"SELECT rel_path, length(regexp_extract(line, '^#+')) AS level, trim(regexp_replace(line, '^#+', '')) AS title, i AS line FROM (SELECT rel_path, unnest(str_split(masked, chr(10))) AS line, generate_subscripts(str_split(masked, chr(10)), 1) AS i FROM blank) WHERE regexp_matches(line, '^#{1,2}\s+.+$')", "blank"
+    ),
+    "section_rows": _sql(
+        r"""SELECT doc, idx, title, level, line, body, array_to_string(list_filter(regexp_extract_all(lower(body), '[\p{L}\p{N}]+'), lambda x: length(x) >= 2), ' ') AS joined FROM (
+            SELECT doc, idx, max(CASE WHEN h THEN trim(regexp_replace(x, '^#+', '')) END) AS title, max(CASE WHEN h THEN length(regexp_extract(x, '^#+')) END) AS level, coalesce(max(CASE WHEN h THEN i END), 1) AS line,
+                regexp_replace(coalesce(string_agg(CASE WHEN NOT h THEN x END, chr(10) ORDER BY i), ''), '^\n+|\n+$', '', 'g') AS body
+            FROM (SELECT *, sum(h::INT) OVER (PARTITION BY doc ORDER BY i) AS idx FROM (SELECT *, regexp_matches(x, '^#{1,6}\s+.+$') AS h FROM (
+                SELECT rel_path AS doc, unnest(str_split(masked, chr(10))) AS x, generate_subscripts(str_split(masked, chr(10)), 1) AS i FROM blank) UNION ALL SELECT rel_path, NULL, 0, FALSE FROM blank)) GROUP BY doc, idx)""",
+        "blank",
+    ),
+    "wikilink_targets": _sql("SELECT rel_path, pos, target, first_path AS resolved_path, broken, ambiguous FROM wr LEFT JOIN (SELECT stem, arg_min(rel_path, str_split(rel_path, '/')) AS first_path FROM named GROUP BY stem) f ON wr.target = f.stem", "wr", "named"),
+    "target_selection": _sql(
+        "SELECT 0 AS root_ord, substr(rel_path, 6) AS rel_path, stem FROM named WHERE rel_path LIKE 'src1/%' AND NOT regexp_matches(rel_path, '^src1/en/.*7[.]md$')"
+        " UNION ALL SELECT 0, substr(rel_path, 6), stem FROM named WHERE rel_path LIKE 'src1/en/%' AND NOT regexp_matches(rel_path, '^src1/en/.*7[.]md$')"
+        " UNION ALL SELECT CASE WHEN rel_path LIKE 'src1/%' THEN 0 ELSE 1 END, CASE WHEN rel_path LIKE 'src1/%' THEN substr(rel_path, 6) ELSE rel_path END, stem FROM named WHERE rel_path NOT LIKE 'src2/%'",
+        "named",
+    ),
+    "union_index": _sql("SELECT stem, count(*) AS n, arg_min(regexp_replace(rel_path, '^[^/]*/', ''), str_split(rel_path, '/')) AS first_path FROM named GROUP BY stem", "named"),
+    "yaml_general": _sql("SELECT rel_path, '{' || string_agg('\"' || split_part(x, ': ', 1) || '\": \"' || trim(split_part(x, ': ', 2), '\"') || '\"', ', ' ORDER BY i) || '}' AS json FROM (SELECT rel_path, unnest(str_split(block, chr(10))) AS x, generate_subscripts(str_split(block, chr(10)), 1) AS i FROM fm WHERE has_fm) GROUP BY rel_path", "fm"),
     "stem_index": _sql("SELECT stem, count(*) AS n, arg_min(rel_path, str_split(rel_path, '/')) AS first_path FROM named GROUP BY stem", "named"),
     "wikilink_resolution": _sql("SELECT rel_path, count(*) AS total, count(*) FILTER (broken) AS broken, count(*) FILTER (ambiguous) AS ambiguous FROM wr GROUP BY rel_path", "wr"),
     "mdlink_resolution": _sql("SELECT rel_path, target, is_external, broken FROM mr", "mr"),
@@ -472,3 +557,14 @@ ORACLES |= {
     "diagnostics_summary": f"WITH every AS ({_EVERY_SQL}), zero AS (SELECT unnest(['severity', 'severity', 'tier', 'tier', 'tier']) AS kind, unnest(['error', 'warning', 'core', 'profile', 'hygiene']) AS value, 0 AS one) SELECT kind, value, sum(one)::BIGINT AS n FROM (SELECT 'severity' AS kind, severity AS value, 1 AS one FROM every UNION ALL SELECT 'tier', tier, 1 FROM every UNION ALL SELECT 'code', code, 1 FROM every UNION ALL SELECT * FROM zero) GROUP BY kind, value",
     "gate_exit_code": f"WITH every AS ({_EVERY_SQL}) SELECT max(CASE WHEN severity = 'error' THEN 1 ELSE 0 END)::BIGINT AS exit_code, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM every",
 }
+ORACLES["file_reports"] = _sql(
+    f"""SELECT rel_path, length(rel_path) - length(replace(rel_path, '/', '')) AS depth, length(content) - length(replace(content, chr(10), '')) AS lines, length(content) AS chars, name IN ('index.md', 'log.md') AS is_reserved,
+        CASE WHEN NOT has_fm THEN 'non_conformant' WHEN type_text <> '' THEN 'conformant' ELSE 'partial' END AS okf_status, coalesce(w.t, '') AS wikilinks, coalesce(m.t, '') AS markdown_links, coalesce(e.t, '') AS diagnostics, coalesce(e.split, FALSE) AS split_candidate
+    FROM parsed
+    LEFT JOIN (SELECT rel_path, string_agg(raw || CASE WHEN broken THEN '!' ELSE '' END || CASE WHEN ambiguous THEN '?' ELSE '' END, ' ' ORDER BY pos) AS t FROM wr GROUP BY rel_path) w USING (rel_path)
+    LEFT JOIN (SELECT rel_path, string_agg(target || CASE WHEN broken THEN '!' ELSE '' END, ' ' ORDER BY pos) AS t FROM mr GROUP BY rel_path) m USING (rel_path)
+    LEFT JOIN (SELECT file AS rel_path, string_agg(code || ' ' || message, '; ' ORDER BY code || ' ' || message) AS t, bool_or(code = 'S202') AS split FROM ({_EVERY_SQL}) WHERE code <> 'R201' GROUP BY file) e USING (rel_path)""",
+    "parsed",
+    "wr",
+    "mr",
+)

@@ -103,7 +103,7 @@ def _mapping(v: Any, where: str) -> dict:
 
 def _type_rules(name: str, raw: Any) -> TypeRules:
     where = f"profile.types.{name}"
-    raw = _mapping(raw if raw is not None else {}, where)
+    raw = _mapping(raw, where)
     _need(all(isinstance(k, str) for k in raw), f"{where}: keys must be strings")
     required, optional, aliases = (_texts(raw, k, where) for k in ("required", "optional", "aliases"))
     both = sorted({*required} & {*optional})
@@ -119,7 +119,7 @@ def _type_rules(name: str, raw: Any) -> TypeRules:
 
 def _profile(raw: Any) -> Profile:
     raw = _mapping(raw, "profile")
-    types = _mapping(raw.get("types") or {}, "profile.types")
+    types = _mapping(raw.get("types", {}), "profile.types")
     return Profile(_texts(raw, "date_fields", "profile"), {str(k): _type_rules(str(k), v) for k, v in types.items()})
 
 
@@ -142,7 +142,7 @@ def _hygiene(raw: Any) -> Hygiene:
     raw = _mapping(raw, "hygiene")
     defaults = Hygiene()
     levels = {k: _level(raw, k, getattr(defaults, k)) for k in ("broken_links", "split_candidates", "reserved_files", "unknown_fields")}
-    return Hygiene(**levels, split=_split(raw["split"]) if "split" in raw else Split())
+    return Hygiene(**levels, split=Split() if raw.get("split") is None else _split(raw["split"]))
 
 
 def _root(raw: Any, i: int, home: Path) -> Root:
@@ -172,7 +172,7 @@ def parse_manifest(raw: Any, home: str | Path = ".") -> Manifest:
         version=None if version is None else str(version),
         external_refs=frozenset(r.lower() for r in refs if isinstance(r, str)) if isinstance(refs, list) else frozenset(),
         profile=_profile(raw["profile"]) if "profile" in raw else None,
-        hygiene=_hygiene(raw["hygiene"]) if raw.get("hygiene") is not None else None,
+        hygiene=_hygiene(raw["hygiene"]) if "hygiene" in raw else None,
     )
 
 

@@ -11,7 +11,7 @@ import os
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -107,3 +107,12 @@ def with_names(files: DataFrame) -> DataFrame:
 def as_paths(entries: DataFrame) -> DataFrame:
     """The absolute path of every entry and root."""
     return entries.select(F.concat_ws("/", "root", "rel_path").alias("path")).union(entries.select("root").distinct())
+
+
+def _exists(paths: pa.Array) -> pa.Array:
+    return pa.array([p is not None and os.path.exists(p) for p in paths.to_pylist()], pa.bool_())
+
+
+def exists(path: Column) -> Column:
+    """Whether something is at a path; false for null. For paths outside the trees that were read."""
+    return F.arrow_udf(_exists, "boolean")(path)

@@ -6,7 +6,7 @@ import pytest
 
 from quillmesh.cli import main
 from quillmesh.plans import audit, validate
-from quillmesh.sources.config import load_manifest
+from quillmesh.sources.config import Root, load_manifest
 from quillmesh.sources.tree import read_tree
 
 MANIFEST = """okf_version: "0.1"
@@ -44,7 +44,7 @@ def test_validate(spark, kb, capsys):
     (kb / "notes/.hid/e.md").unlink()
     assert main(["validate", "--manifest", str(kb / "okf-base.yaml")], spark) == 0
     out = capsys.readouterr().out
-    assert "⚠️ [L001] sub/two.md — broken wikilink: [[gone]]" in out and "0 error(s), 1 warning(s)." in out
+    assert "⚠️ [L001] sub/two.md — broken wikilink: [[gone]]" in out and "0 error(s), 1 warning(s)" in out
     assert main(["validate", "--manifest", str(kb / "okf-base.yaml"), "--json", str(kb / "notes/skip/x.md")], spark) == 1
     assert [(d["code"], d["file"]) for d in json.loads(capsys.readouterr().out)] == [("F001", "skip/x.md")]
     (kb / "notes/log.md").unlink()
@@ -56,7 +56,7 @@ def test_validate(spark, kb, capsys):
 
 def test_audit_agrees_with_validate(spark, kb):
     m = load_manifest(kb / "okf-base.yaml")
-    report = audit.run_audit(spark, list(m.roots), manifest=m)
+    report = audit.run_audit(spark, list(m.roots), manifest=m).as_dict()
     flat = sorted((d["code"], d["file"], d["message"]) for f in report["files"] for d in f["diagnostics"])
     rows = validate.run_validate(spark, m).rows()
     assert flat == sorted((d["code"], d["file"], d["message"]) for d in rows if d["code"] != "R201")
@@ -73,8 +73,10 @@ def test_audit_modes(spark, kb, capsys, monkeypatch):
     assert main(["audit", "--bundle", str(kb / "notes"), "--vault", str(kb)], spark) == 0
     (kb / "v.json").write_text(json.dumps({"okf_vault_version": "0.1", "name": "v", "bundles": [{"path": "."}]}))
     assert main(["audit", "--vault", str(kb / "v.json"), "--apply"], spark) == 0
-    assert "=== Total ===" in capsys.readouterr().out
-    assert len(list(kb.glob(".quillmesh/*_vault_audit_v1.json"))) == 1
+    assert "[vault]" in capsys.readouterr().out
+    (written,) = kb.glob(".quillmesh/*_vault_audit_v1.json")
+    (one,) = json.loads(written.read_text())["reports"]
+    assert one["stats"]["total_files"] == len(one["files"]) > 0 and [f["path"] for f in one["files"]] == sorted(f["path"] for f in one["files"])
     assert main(["validate", "--vault", str(kb / "v.json")], spark) == 1
     assert f"[{kb.name}]" in capsys.readouterr().out
 
@@ -83,12 +85,57 @@ def test_index_is_idempotent(spark, kb, capsys):
     (kb / "notes/latin.md").unlink()
     args = ["index", "--manifest", str(kb / "okf-base.yaml")]
     assert main(args, spark) == 0
-    assert "index.md to write" in capsys.readouterr().out
+    assert "--apply writes" in capsys.readouterr().out
     assert main([*args, "--apply"], spark) == 0
     assert (kb / "notes/index.md").read_text() == "- [.hid/](.hid/index.md)\n- [sub/](sub/index.md)\n- [Tït](one.md) — about\n"
     capsys.readouterr()
     assert main(args, spark) == 0
-    assert "index.md up to date" in capsys.readouterr().out
+    assert "up to date" in capsys.readouterr().out
+
+
+def test_index_needs_a_manifest_and_skips_bad_bundles(spark, kb, capsys, monkeypatch):
+    monkeypatch.chdir(kb)
+    assert main(["index"], spark) == 2 and main(["index", "--vault", str(kb)], spark) == 2
+    (kb / "bad").mkdir()
+    (kb / "bad/okf-base.yaml").write_text("base: 1")
+    (kb / "notes/latin.md").unlink()
+    (kb / "v.json").write_text(json.dumps({"okf_vault_version": "0.1", "bundles": [{"path": "bad"}, {"path": "."}]}))
+    assert main(["index", "--vault", str(kb / "v.json"), "--apply"], spark) == 0
+    assert "bad left out" in capsys.readouterr().err and (kb / "notes/sub/index.md").exists()
+    assert main(["validate", "--json", "--vault", str(kb / "v.json")], spark) == 2
+    json.loads(capsys.readouterr().out)
+
+
+def test_overlapping_roots_and_targets_repeat_findings(spark, kb, capsys):
+    bad = "no header"
+    (kb / "notes/sub/skip").mkdir(parents=True)
+    (kb / "notes/sub/skip/y.md").write_text(bad)
+    (kb / "notes/sub/index.md").write_text("---\nokf_version: 1\n---\n")
+    (kb / "two.yaml").write_text(MANIFEST.replace("roots: [", "roots: [{path: notes/sub, exclude_patterns: [\"skip/*\"]}, "))
+    m = load_manifest(kb / "two.yaml")
+    rows = validate.run_validate(spark, m).rows()
+    # sub comes first: it holds its files under both roots; the outer one has no exclusion that fits.
+    assert [r["file"] for r in rows if r["code"] == "F001" and "y.md" in r["file"]] == ["skip/y.md"]
+    assert [r["file"] for r in rows if r["code"] == "L001"] == ["two.md", "two.md"]
+    assert not [r for r in rows if r["code"] == "R001"]  # the top of any root may give the version
+    twice = [str(kb / "notes/skip/x.md")] * 2
+    assert [r["code"] for r in validate.run_validate(spark, m, twice).rows()] == ["F001", "F001", "R201"]
+
+
+def test_links_to_files_outside_all_roots(spark, kb):
+    (kb / "outside.md").write_text("x")
+    (kb / "notes/out.md").write_text(NOTE.replace("(sub/two.md)", "(../outside.md) [n](../gone.md)"))
+    m = load_manifest(kb / "okf-base.yaml")
+    rows = validate.run_validate(spark, m, [str(kb / "notes/out.md")]).rows()
+    assert [r["message"] for r in rows if r["code"] == "L002"] == ["broken markdown link: ../gone.md"]
+    (out,) = (f for f in audit.run_audit(spark, list(m.roots), manifest=m).files() if f["path"] == "out.md")
+    assert [x["broken"] for x in out["markdown_links"]] == [False, True]
+
+
+def test_audit_without_manifest_checks_the_core_rules(spark, kb):
+    (kb / "notes/one.md").write_text("no header")
+    report = audit.run_audit(spark, [Root(str(kb / "notes"))]).as_dict()
+    assert "F001" in report["diagnostics_summary"]["by_code"]
 
 
 def test_streaming_revalidation(spark, kb, tmp_path):

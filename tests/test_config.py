@@ -14,27 +14,48 @@ def test_minimal(tmp_path):
     assert m.roots[0].path == str((tmp_path / "notes").resolve()) and m.profile is None and m.hygiene is None
 
 
-@pytest.mark.parametrize(
-    "raw",
-    [
-        {},
-        {"base": {}},
-        {"base": {"roots": [], "reserved_files": {"index": "i", "log": "l"}}},
-        {"base": {"roots": [{"path": 1}], "reserved_files": {"index": "i", "log": "l"}}},
-        {"base": {"roots": [{"path": "a"}], "reserved_files": {"index": "i"}}},
-        base(profile=None),
-        base(profile={"types": {"T": {"required": ["a"], "optional": ["a"]}}}),
-        base(profile={"types": {"T": {"x_values": ["a"]}}}),
-        base(profile={"types": {"T": {1: ["a"]}}}),
-        base(hygiene={"broken_links": "loud"}),
-        base(hygiene={"broken_links": ["warn"]}),
-        *(base(hygiene={"split": {"tau": t}}) for t in (0, 1, -0.1, 1.5, "x", True)),
-        *(base(hygiene={"split": {"min_lines": n}}) for n in (-1, True, 1.5)),
-    ],
-)
-def test_errors(raw):
-    with pytest.raises(ManifestError):
-        parse_manifest(raw)
+#: Where in a manifest, what may stand there, and what may not.
+TEXTS = ([[], ["a", "b"]], [None, "a", [1], {"a": 1}])
+SCHEMA = [
+    ("base", [], [None, [], {}]),
+    ("base.roots", [[{"path": "a"}, {"path": "/b"}]], [None, [], {"path": "a"}, ["a"], [{}], [{"path": None}]]),
+    ("base.roots.0.exclude_patterns", *TEXTS),
+    ("base.reserved_files", [{"index": "i", "log": "l", "x": "y"}], [None, [], {"log": "l"}]),
+    ("base.link_resolution", [None, {}, {"external_refs": None}], []),
+    ("profile", [{}], [None, []]),
+    ("profile.date_fields", *TEXTS),
+    ("profile.types", [{}], [None, []]),
+    ("profile.types.T", [{}], [None, [], {1: ["a"]}]),
+    ("profile.types.T.required", *TEXTS),
+    ("profile.types.T.optional", *TEXTS),
+    ("profile.types.T.aliases", *TEXTS),
+    ("profile.types.T", [{"optional": ["a"], "a_values": ["x"]}], [{"a_values": ["x"]}, {"optional": ["a"], "a_values": None}, {"required": ["a"], "optional": ["a"]}]),
+    ("hygiene", [{}], [None, []]),
+    *((f"hygiene.{k}", ["off", "warn", "error", True, False], [None, "", "WARN", 1, ["off"]]) for k in ("broken_links", "split_candidates", "reserved_files", "unknown_fields")),
+    ("hygiene.split", [None, {}], [[], 3]),
+    ("hygiene.split.min_lines", [0, 9], [None, -3, 2.0, False]),
+    ("hygiene.split.tau", [0.3, 0.999], [None, 1.0, 0.0, 2, -1, "0.3", True]),
+    ("hygiene.split.exempt_types", *TEXTS),
+    ("hygiene.split.exempt_paths", *TEXTS),
+]
+
+
+def with_value(path, value):
+    raw = base()
+    at, keys = raw, [int(k) if k.isdigit() else k for k in path.split(".")]
+    for k in keys[:-1]:
+        at = at[k] if isinstance(k, int) else at.setdefault(k, {})
+    at[keys[-1]] = value
+    return raw
+
+
+@pytest.mark.parametrize("path, good, bad", SCHEMA)
+def test_schema(path, good, bad):
+    for v in good:
+        parse_manifest(with_value(path, v))
+    for v in bad:
+        with pytest.raises(ManifestError):
+            parse_manifest(with_value(path, v))
 
 
 def test_levels_that_yaml_reads_as_booleans():
