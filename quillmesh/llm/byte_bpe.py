@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import map_text, pieces, ship, table, texts
+from quillmesh.llm.common import map_text, pieces, remember, ship, table, texts
 
 MEMO = 500_000
 MEMO_CHARS = 64
@@ -245,6 +245,7 @@ def coder(path: str, pattern: str) -> ByteBPE:
     if (path, pattern) not in _coders:
         gc.set_threshold(500_000, 20, 100)  # millions of strings live on in the memo; none is part of a cycle
         _coders[path, pattern] = ByteBPE(path, pattern)
+    remember("byte_bpe", _coders.clear)
     return _coders[path, pattern]
 
 
@@ -257,7 +258,7 @@ def encode(df: DataFrame, path: str, pattern: str) -> DataFrame:
         ids = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(rows), "<i4")))
         return pa.RecordBatch.from_arrays([b.column("doc_id"), ids], names=["doc_id", "ids"])
 
-    return map_text(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, ids array<int>", BATCH)
+    return map_text(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, ids array<int>", BATCH, "byte_bpe")
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:

@@ -11,52 +11,73 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.shipping import ship
+from quillmesh.shipping import ship, spread
 
 #: Text taken into one working batch of a Python worker, in bytes (one longer text is a batch of its own).
 BATCH_BYTES = 8 << 20
 
-_written: list[tuple[SparkSession, str]] = []
+_written: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of sf_dir; one of fewer files than cores is dealt to all of them."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where none is set, as in tests."""
+    """The folder that driver and executors share, as a URI; a folder of our own only where none is set and all run on one machine, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quillmesh-")
         spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
+    at = at.rstrip("/")
+    if at.startswith("/"):
+        return f"file://{at}"
+    return at.replace("file:/", "file:///", 1) if at.startswith("file:/") and not at.startswith("file:///") else at
+
+
+def scratch(spark: SparkSession, kind: str = "table") -> str:
+    """A new name in the shared folder; what is written there goes with drop() or at exit."""
+    path = f"{shared_dir(spark)}/quillmesh-{kind}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, reread from a table in the shared folder: a short lineage that outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillmesh-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut() has written, once nothing that is still to run reads them."""
+    for t in tables:
+        _delete(t._scratch)
 
 
-def drop_cuts() -> None:
-    """Delete the tables that cut() has written."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone at exit
-            return
+def _delete(path: str) -> None:
+    if path in _written:
+        _written.discard(path)
+        with contextlib.suppress(Exception):  # it is gone, or its store can't be reached at exit
+            fs, at = pafs.FileSystem.from_uri(path)
+            fs.delete_dir(at)
 
 
-atexit.register(drop_cuts)
+@atexit.register
+def drop_all() -> None:
+    """Delete all that is left of what cut() and scratch() have named."""
+    for path in list(_written):
+        _delete(path)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -69,24 +90,32 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BA
             yield b.slice(i, step)
 
 
-def map_text(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema, size: int = BATCH_BYTES) -> DataFrame:
-    """f over batches of bounded size, without a shuffle."""
+def map_text(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema, size: int = BATCH_BYTES, memo: str = "") -> DataFrame:
+    """f over batches of bounded size, without a shuffle. memo names what f remembers in its worker; what others remembered there goes first."""
 
     def run(batches):
+        forget_others(memo)
         for b in pieces(batches, size=size):
             yield f(b)
         release()
 
     ship(df.sparkSession)
-    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most some thousand rows: buffers for whole texts stand beside the heap."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) == 10_000:  # the default; a session's own choice stands
-        spark.conf.set(key, "2000")
+#: What this worker remembers between tasks: names and what forgets it.
+_memos: dict[str, Callable[[], None]] = {}
+
+
+def remember(name: str, forget: Callable[[], None]) -> None:
+    _memos[name] = forget
+
+
+def forget_others(name: str = "") -> None:
+    """Workers are used again by other stages: memory for what only an earlier stage remembered is given up."""
+    for k in [k for k in _memos if k != name]:
+        _memos.pop(k)()
+    release()
 
 
 def release() -> None:

@@ -13,8 +13,8 @@ counts, whatever the corpus. On it:
 
 The result is a list of runs: the pieces of one length with ranks from `first`
 on go, one each, to the sequences from `sequence` on, all at one offset. Its
-size follows the number of lengths, not of pieces. Ranks are counted within
-salted groups, so a length that holds most pieces is dealt to many tasks.
+size follows the number of lengths, not of pieces. A length that holds more
+than RANKED pieces is dealt into salted groups, so that many tasks rank it.
 """
 
 from __future__ import annotations
@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import cut, map_text, table, texts
-from quillmesh.llm.word_tokens import BATCH, encoder
+from quillmesh.llm.word_tokens import BATCH, MEMO_NAME, encoder
 
 BINS = 64
 PART = 4
-#: Groups into which the pieces of one length are dealt to be ranked.
-SALTS = 64
+#: Pieces of one length that are ranked in one task; more are dealt into groups.
+RANKED = 500_000
 
 
 def patterns(bins: int, part: int) -> list[tuple[int, ...]]:
@@ -170,7 +170,9 @@ def plan(histogram: dict[int, int], capacity: int, bins: int = BINS, part: int =
 def cut_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: bool = False) -> DataFrame:
     """A row for each piece of each document: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (little-endian unsigned 32-bit).
 
-    Null text is empty: one piece, the end id. Columns of df besides doc_id and text are left out.
+    Null or empty text is one piece, the end id. Null doc_ids stay null; repeated
+    rows are pieces of their own. A very long text is encoded whole and cut. An
+    empty df gives no rows. Columns of df besides doc_id and text are left out.
     """
     end = int(end_id).to_bytes(4, "little")
     size = 4 * capacity
@@ -186,35 +188,44 @@ def cut_pieces(df: DataFrame, tokenizer: str, end_id: int, capacity: int, with_i
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), fields)], names=[n for n, _ in fields])
 
     slim = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_text(slim, run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""), BATCH)
+    return map_text(slim, run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""), BATCH, MEMO_NAME)
 
 
 def place(rows: DataFrame, capacity: int, by: list[str]) -> DataFrame:
     """Adds sequence_id and offset to rows with a length from 1 to capacity; `by` orders pieces of one length.
 
-    rows is read twice, so it should be a table or a checkpoint. No rows, no sequences.
+    rows is read twice, so it should be a table or a checkpoint. No rows, no
+    sequences. Rows that tie in `by` are placed in any order; repeated rows are
+    pieces of their own. Other columns of rows keep their names and values,
+    whatever they are called, but for sequence_id and offset, which are replaced.
     """
     spark = rows.sparkSession
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
-    groups = salted.groupBy("length", "_salt").count().collect()  # at most capacity * SALTS rows
-    histogram: dict[int, int] = {}
-    before = []
-    for g in sorted(groups, key=lambda g: (g["length"], g["_salt"])):
-        n = histogram.get(g["length"], 0)
-        before.append((g["length"], g["_salt"], n))
-        histogram[g["length"]] = n + g["count"]
+    kept = [c for c in rows.columns if c not in ("sequence_id", "offset")]
+    slim = rows.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col("length").cast("long").alias("len"))
+    histogram = {r["len"]: r["count"] for r in slim.groupBy("len").count().collect()}  # at most `capacity` rows
+    large = [(n, -(-k // RANKED)) for n, k in histogram.items() if k > RANKED]
+    dealt = spark.createDataFrame(large, "len long, groups int")  # at most `capacity` rows
+    salt = F.pmod(F.xxhash64(*(F.col(f"row.`{c}`") for c in by)), F.col("groups")).cast("int")
+    keyed = slim.join(F.broadcast(dealt), "len", "left").select("row", "len", F.coalesce(salt, F.lit(0)).alias("salt"))
+    before = {(n, 0): 0 for n in histogram}
+    if large:
+        ahead: dict[int, int] = {}
+        for r in sorted(keyed.where(F.col("len").isin([n for n, _ in large])).groupBy("len", "salt").count().collect()):  # one for each RANKED pieces
+            before[r["len"], r["salt"]] = ahead.get(r["len"], 0)
+            ahead[r["len"]] = before[r["len"], r["salt"]] + r["count"]
     runs, _ = plan(histogram, capacity)
-    starts = spark.createDataFrame(before, "length long, _salt int, _before long")
-    placed = spark.createDataFrame(runs, "length long, _first long, _n long, _sequence long, _offset long")
-    rank = F.col("_before") + F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*by)) - 1
-    ranked = salted.join(F.broadcast(starts), ["length", "_salt"]).withColumn("_rank", rank)
-    fits = (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_n"))
-    out = ranked.join(F.broadcast(placed.withColumnRenamed("length", "_length")), (F.col("length") == F.col("_length")) & fits)
-    return out.select(*(F.col(f"`{c}`") for c in rows.columns if c not in ("sequence_id", "offset")), (F.col("_sequence") + F.col("_rank") - F.col("_first")).alias("sequence_id"), F.col("_offset").alias("offset"))
+    starts = spark.createDataFrame([(*k, n) for k, n in before.items()], "len long, salt int, before long")
+    placed = spark.createDataFrame(runs, "run_len long, first long, n long, sequence long, at long")
+    rank = F.col("before") + F.row_number().over(Window.partitionBy("len", "salt").orderBy(*(F.col(f"row.`{c}`") for c in by))) - 1
+    # Both sides follow from the lengths: a start for each and for each RANKED pieces, and a few runs for each.
+    ranked = keyed.join(F.broadcast(starts), ["len", "salt"]).withColumn("rank", rank)
+    fits = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))
+    out = ranked.join(F.broadcast(placed), (F.col("len") == F.col("run_len")) & fits)
+    return out.select(*(F.col(f"row.`{c}`") for c in kept), (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), F.col("at").alias("offset"))
 
 
 def pack_documents(df: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
-    """Every piece of every document with its sequence and its place there."""
+    """Every piece of every document with its sequence and its place there; nulls, empty and long texts, repeated rows and other columns as cut_pieces() and place() have them."""
     return place(cut(cut_pieces(df, tokenizer, end_id, capacity)), capacity, ["doc_id", "piece", "ids_crc32"])
 
 

@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import cut, pieces, shared_dir, table, texts
-from quillmesh.llm.word_tokens import BATCH, encoder
+from quillmesh.llm.common import cut, forget_others, pieces, scratch, table, texts
+from quillmesh.llm.word_tokens import BATCH, MEMO_NAME, encoder
 
 # Fixed values of the zstandard and seekable formats.
 SKIPPABLE_KEYS = 0x184D2A50
@@ -116,15 +116,19 @@ def write_store(df: DataFrame, folder: str, tokenizer: str, end_id: int, key: st
     """Encodes df.text, appends end_id to each document and writes the files.
 
     Returns a row for each file: file (its place in key order), path, n_docs,
-    n_ids. Null text is empty (the end id alone); null keys come first; rows of
-    the same key are all kept, in order of their text's hash. Other columns of
-    df are left out. No rows, no files.
+    n_ids. Null or empty text is the end id alone; null keys come first; rows of
+    the same key are all kept, in order of their text's hash (rows that repeat
+    both tie, and are equal). A very long text is one frame like any other.
+    Other columns of df, whatever their names, are left out. No rows, no files.
+    What a lost task attempt leaves is a file of a hidden name, which no reader
+    takes for a store.
     """
     dealt = df.select(F.col(key).cast("long").alias("key"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("h"))
     dealt = dealt.repartitionByRange("key", "h").sortWithinPartitions("key", "h").select("key", "text")
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
+        forget_others(MEMO_NAME)
         part = TaskContext.get().partitionId()
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
@@ -172,10 +176,7 @@ def op7_token_store(spark, sf_dir: str) -> DataFrame:
     """All documents written to seekable files and read back."""
     import public_tokenizers
 
-    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{folder}"
-    folder = folder.replace("file:///", "file:/").replace("file:/", "file:///")
+    folder = scratch(spark, "tokens")
     files = cut(write_store(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), 2))
     return read_store(files)
 

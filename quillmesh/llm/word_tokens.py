@@ -2,8 +2,9 @@
 
 The tokenizer file drops white space and never joins what it parts, so a
 text's ids are those of its words, one after the other. Most words repeat: a
-worker remembers the ids of up to MEMO words and word parts and starts afresh
-when full, so memory is bounded and results don't depend on it.
+worker remembers the ids of up to MEMO bytes of words and MEMO_PARTS of their
+parts, starts afresh when full and forgets them when another stage comes, so
+memory is bounded and results don't depend on it.
 
 A word of letters from ASCII and Latin-1 is lower-cased and parted here (for
 those characters the file's normaliser and pattern come to just that) and the
@@ -20,9 +21,12 @@ from itertools import chain
 
 import numpy as np
 
-#: Words, and parts of words, remembered by a worker: about 200 bytes each.
-MEMO = 700_000
-MEMO_PARTS = 350_000
+from quillmesh.llm.common import remember
+
+#: Bytes of words with their ids, and of parts of words, that a worker remembers; ENTRY is what each takes besides its characters and ids.
+MEMO = 80 << 20
+MEMO_PARTS = 40 << 20
+ENTRY = 180
 #: Bytes of text in a batch: its words take some ten times as much.
 BATCH = 4 << 20
 #: Longer words are encoded each time they occur.
@@ -41,6 +45,8 @@ _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]| |[^
 _END = b"\xff\xff\xff\xff"
 
 _encoders: dict[str, WordEncoder] = {}
+#: What the worker's encoders are remembered as.
+MEMO_NAME = "words"
 
 
 def split_words(text: str) -> list[str]:
@@ -72,10 +78,11 @@ class WordEncoder:
         self.symbols = str.maketrans({i: s for i, s in enumerate(byte_symbols())})
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {" ": _END}
+        self.held = self.held_parts = 0
 
     def _learn_parts(self, parts: list[str]) -> None:
-        if len(self.parts) + len(parts) > MEMO_PARTS:
-            self.parts = {" ": _END}
+        if self.held_parts > MEMO_PARTS:
+            self.parts, self.held_parts = {" ": _END}, 0
         as_bytes = [p if p.isascii() else p.encode().decode("latin-1").translate(self.symbols) for p in parts]
         groups = [" ".join(as_bytes[i : i + GROUP]) for i in range(0, len(parts), GROUP)]
         found = self.model.encode_batch_fast(groups, add_special_tokens=False)
@@ -87,6 +94,7 @@ class WordEncoder:
         for p, end in zip(parts, ends.tolist()):
             self.parts[p] = raw[start:end]
             start = end
+        self.held_parts += len(raw) + sum(map(len, parts)) + ENTRY * len(parts)
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         plain, other = [], []
@@ -119,9 +127,11 @@ class WordEncoder:
         got = self._learn(new)
         for i in missing:
             found[i] = got[flat[i]]
-        if len(self.words) + len(new) > MEMO:
-            self.words = {}
-        self.words.update((w, ids) for w, ids in got.items() if len(w) <= MEMO_CHARS)
+        short = {w: ids for w, ids in got.items() if len(w) <= MEMO_CHARS}
+        if self.held > MEMO:
+            self.words, self.held = {}, 0
+        self.words.update(short)
+        self.held += sum(map(len, short)) + sum(map(len, short.values())) + ENTRY * len(short)
         return [b"".join(found[a:b]) for a, b in zip(ends, ends[1:])]
 
 
@@ -131,4 +141,5 @@ def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         gc.set_threshold(500_000, 20, 100)  # millions of strings live on in the memo; none is part of a cycle
         _encoders[path] = WordEncoder(path)
+    remember(MEMO_NAME, _encoders.clear)
     return _encoders[path]
