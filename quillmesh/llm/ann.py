@@ -9,8 +9,8 @@ that name it, the nearest ones) to each other where one of the two is new, in
 a Spark join of edges with vectors; each node keeps its NEAR best, until at
 most the share SETTLED of all edges is new. A search walks that graph: from the
 query's own node it expands the BEAM best candidates not yet expanded, all
-queries at once in each hop's joins, until at most the share STILL of the
-neighbours asked for is new. So rounds and hops follow the data, at any size.
+queries at once in each hop's joins, HOPS times and then until at most the share
+STILL of the neighbours asked for is new. So rounds and hops follow the data, at any size.
 
 Ids travel; vectors, as bytes with a scale, meet them where a product is to be
 taken. What is found is ranked by the exact double-precision product of the
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,14 @@ NEAR = 32
 PIVOTS = 16_384
 #: Vectors for each pivot.
 CELL = 800
-ASSIGN = 3
+ASSIGN = 4
 PART = 4_000
 #: Rounds end when this share of the edges, or less, is new.
 SETTLED = 0.06
 BEAM = 64
-#: Hops end when this share of the queries' nearest, or less, is new.
-STILL = 0.02
+#: Hops of every search at least; then they end when this share of the queries' nearest, or less, is new.
+HOPS = 3
+STILL = 0.05
 #: Candidates of a query that are kept; the farther ones can't be among its nearest, and are never expanded.
 POOL = 400
 #: Candidates of a query that are ranked exactly, for each neighbour asked for.
@@ -234,14 +236,14 @@ def _merged(batches, beam: int, pool: int, k: int):
         yield _batch(_POOL, a, b, s, np.where(open_ & (turn <= beam), 1, state), late)
 
 
-def walk(graph: DataFrame, vectors: DataFrame, starts: DataFrame, k: int, near: int = NEAR, beam: int = BEAM, pool: int = POOL, still: float = STILL) -> DataFrame:
+def walk(graph: DataFrame, vectors: DataFrame, starts: DataFrame, k: int, near: int = NEAR, beam: int = BEAM, pool: int = POOL, hops: int = HOPS, still: float = STILL) -> DataFrame:
     """(node, other, s): for each of starts' nodes the best others that a greedy search from its place in the graph finds."""
     links = cut(graph.select("node", "other").union(_named_by(graph, near).select("node", "other")).groupBy("node").agg(F.collect_set("other").alias("others")))  # at most 2 * near each
     codes = vectors.select(F.col("node").alias("other"), "code")
     own = cut(starts.join(vectors, "node").select("node", F.col("code").alias("own")))
     order = Window.partitionBy("node").orderBy(F.desc("s"), "other")  # at most `near` of a node
     found = cut(graph.join(starts, "node", "left_semi").select("node", "other", "s", F.when(F.row_number().over(order) <= beam, 1).otherwise(0).cast("byte").alias("state"), F.lit(True).alias("late")))
-    while True:  # each hop expands what no hop has, so they end
+    for hop in count(1):  # each expands what none has, so they end
         last = found
         reached = last.where("state = 1").select("node", "other").join(links.withColumnRenamed("node", "other"), "other").select("node", F.explode("others").alias("other")).where("node <> other").distinct()
         new = reached.join(codes, "other").join(own, "node").mapInArrow(_scored, "node long, other long, s float")
@@ -249,7 +251,7 @@ def walk(graph: DataFrame, vectors: DataFrame, starts: DataFrame, k: int, near:
         found = cut(both.repartition("node").sortWithinPartitions("node").mapInArrow(lambda batches: _merged(batches, beam, pool, k), _POOL_SQL))
         drop(last)
         late, nearest, todo = found.select(F.count(F.when(F.col("late"), 1)), F.count_distinct("node") * k, F.count(F.when(F.col("state") == 1, 1))).first()
-        if not todo or late <= still * nearest:
+        if not todo or hop >= hops and late <= still * nearest:
             drop(links, own)
             return found.select("node", "other", "s")
 
