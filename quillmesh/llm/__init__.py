@@ -35,9 +35,12 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     """DuckDB SQL for those queries that SQL can express."""
+    from quillmesh.llm import url_oracle
+
     out = {}
     for m in _modules():
         out |= m.ORACLES
+    out["op1_url_filter"] = url_oracle.sql()
     import corpus_pipeline
 
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -15,6 +15,7 @@ millionths), so the model doesn't depend on how rows are partitioned.
 from __future__ import annotations
 
 import math
+import random
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -24,10 +25,10 @@ from quillmesh.llm.common import cut, table
 
 #: Labelled URLs that a model is fitted on, in expectation.
 LABELLED = 20_000
-ROUNDS = 8
+ROUNDS = 6
 DEPTH = 3
 BINS = 16
-RATE = 0.3
+RATE = 0.5
 #: Added to the sum of second derivatives of a leaf.
 RIDGE = 1.0
 #: Rows that a leaf holds at least.
@@ -41,75 +42,47 @@ FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "digi
 #: (verdict, host, path): the rules that the query judges by.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-# Labelled URLs (invented, on reserved names) that the query's model is trained from.
-BLOCKED_URLS = (
-    "http://casino-wins.example.com/play/7",
-    "https://www.best-casino.example.org/bonus/100?ref=x",
-    "http://free-spins.example.net/win/55.html",
-    "https://m.lucky-bets.example.com/jackpot/3",
-    "http://sports-bets.example.org/odds/19?page=2&ref=x",
-    "https://blog.poker-club.example.net/deal/402/",
-    "http://buy-pills.example.com/order/8.html",
-    "https://www.cheap-meds.example.net/sale/61?utm_source=feed",
-    "http://online-pharm.example.org/rx/77",
-    "https://diet-pills.example.com/offer/12#top",
-    "http://m.adult-chat.example.net/live/9",
-    "https://xxx-video.example.org/watch/310?ref=x",
-    "http://www.adult-cams.example.com/room/5",
-    "https://hot-dates.example.net/meet/88.html",
-    "http://ad-clicks.example.com/go/1?id=9&src=4",
-    "https://www.track-ads.example.org/pixel/6?uid=1",
-    "http://pop-ads.example.net/serve/32",
-    "https://link-farm.example.com/list/2041/",
-    "http://blog.seo-links.example.org/buy/15",
-    "https://spam-mail.example.net/list/90?page=2",
-    "http://www.free-gifts.example.com/claim/44.html",
-    "https://win-phone.example.org/prize/1?ref=x",
-    "http://fast-loans.example.net/apply/63",
-    "https://m.pay-day.example.com/loan/27/",
-    "http://replica-shop.example.org/watch/5",
-    "https://www.cheap-bags.example.net/sale/18#top",
-    "http://crack-keys.example.com/get/73",
-    "https://warez-zone.example.org/dl/208?file=1",
-    "http://x9k2q7-4410.example.net/a/1?b=2&c=3&d=4&e=5",
-    "https://login-77821.example.com/verify/0099182773?token=88172635",
-    "http://185-22-101.example.org/index/3?q=918273645&r=5546372",
-    "https://secure-0012.example.net/account/66123?session=90817263544",
-)
-ALLOWED_URLS = (
-    "http://library.example.com/en/7",
-    "https://www.garden.example.org/fr/100?ref=x",
-    "http://history.example.net/de/55.html",
-    "https://m.weather.example.com/es/3",
-    "http://recipes.example.org/en/19?page=2&ref=x",
-    "https://blog.travel.example.net/fr/402/",
-    "http://physics.example.com/de/8.html",
-    "https://www.museum.example.net/en/61?utm_source=feed",
-    "http://school.example.org/es/77",
-    "https://poetry.example.com/fr/12#top",
-    "http://m.planets.example.net/en/9",
-    "https://rivers.example.org/de/310?ref=x",
-    "http://www.council.example.com/en/5",
-    "https://railway.example.net/fr/88.html",
-    "http://grammar.example.com/en/1?page=9&ref=x",
-    "https://www.archive.example.org/es/6?utm_source=feed",
-    "http://botany.example.net/en/32",
-    "https://chess.example.com/de/2041/",
-    "http://blog.painter.example.org/en/15",
-    "https://letters.example.net/fr/90?page=2",
-    "http://www.harbour.example.com/es/44.html",
-    "https://theatre.example.org/en/1?ref=x",
-    "http://bridges.example.net/de/63",
-    "https://m.novels.example.com/en/27/",
-    "http://village.example.org/fr/5",
-    "https://www.music.example.net/es/18#top",
-    "http://kitchen.example.com/en/73",
-    "https://maps.example.org/de/208?page=1",
-    "http://letters.example.net/en/18345/",
-    "https://blog.seaside.example.com/fr/45012.html",
-    "http://forest.example.org/es/33766?utm_source=feed",
-    "https://teacher.example.net/en/49178?page=2&ref=x",
-)
+# Parts that the labelled table's invented URLs are made of, on reserved names.
+WORDS = ("garden", "museum", "history", "travel", "school", "harbour", "letters", "physics", "kitchen", "railway", "forest", "music", "novels", "council", "weather", "planets")
+LURES = ("casino", "pills", "bets", "loans", "prize", "cheap", "replica", "lucky", "spam", "farm", "meds", "clicks")
+SUFFIXES = ("com", "net", "org", "test")
+TOPICS = ("en", "fr", "de", "es", "docs", "news")
+EXAMPLES = 1_600
+
+
+def example_url(i: int) -> tuple[str, int]:
+    """The i-th labelled URL and its label (1: block).
+
+    No one feature tells the classes apart: allowed hosts are hyphenated too,
+    allowed paths deep or numbered, and allowed queries long, but not in the
+    combinations that blocked ones have.
+    """
+    r = random.Random(1_000_003 * i + 17)
+    pick, number = r.choice, lambda n: str(r.randrange(10 ** (n - 1), 10**n))
+    y = int(r.random() < 0.4)
+    suffix = pick(SUFFIXES if y else SUFFIXES[:3]) if r.random() < 0.7 else pick(SUFFIXES[2:] if y else SUFFIXES[:2])
+    top = r.choices(("", "www.", "m.", "blog."), (5, 2, 1, 2))[0]
+    tail = r.choices(("", "/", ".html", "?page=2&ref=x", "?utm_source=feed", "#top"), (3, 1, 1, 1, 1, 1))[0]
+    kind = r.random()
+    if y:
+        if kind < 0.5:  # a hyphenated lure before a numbered page
+            host, path = f"{pick(LURES)}-{pick(LURES)}", f"/{pick(TOPICS)}/{number(r.randrange(1, 5))}{tail}"
+        elif kind < 0.7:  # made-up names: digits among letters
+            host, path = "".join(r.choices("abcdefghkmnpqrstvwxyz23456789", k=r.randrange(9, 16))), f"/{number(r.randrange(4, 10))}/{pick(TOPICS)}{tail}"
+        elif kind < 0.85:  # a plain host with tracking parameters
+            host, path = pick(WORDS), "/go?" + "&".join(f"{c}={number(r.randrange(3, 9))}" for c in r.sample("abcdefguvw", r.randrange(4, 7)))
+        else:  # a deep path of numbers
+            host, path = pick(WORDS), "".join(f"/{number(r.randrange(1, 4))}" for _ in range(r.randrange(5, 9)))
+    elif kind < 0.5:  # a plain host with a numbered page
+        host, path = pick(WORDS) + r.choice(("", "", pick(WORDS))), f"/{pick(TOPICS)}/{number(r.randrange(1, 5))}{tail}"
+    elif kind < 0.7:  # a hyphenated host with a titled page
+        host, path = f"{pick(WORDS)}-{pick(WORDS)}", f"/{pick(WORDS)}/{'-'.join(r.choices(WORDS, k=r.randrange(2, 6)))}"
+    elif kind < 0.85:  # a search: parameters of words
+        host, path = pick(WORDS), "/find?" + "&".join(f"{c}={pick(WORDS)}" for c in r.sample("abcdefguvw", r.randrange(3, 6)))
+    else:  # a deep path of words
+        host, path = pick(WORDS), "".join(f"/{pick(WORDS)}" for _ in range(r.randrange(4, 8))) + f"/{number(1)}"
+    return f"{pick(('http', 'https'))}://{top}{host}.example.{suffix}{path}", y
+
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -117,13 +90,14 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def with_parts(df: DataFrame, url: str = "url") -> DataFrame:
     """Adds host, path and query of a URL; all empty for null or without `://`."""
     u = F.coalesce(F.col(url), F.lit(""))
-    rest = F.when(F.instr(u, "://") > 0, F.expr(f"substring(coalesce(`{url}`, ''), instr(coalesce(`{url}`, ''), '://') + 3)")).otherwise("")
-    return (
-        df.withColumn("_rest", rest)
-        .withColumn("host", F.translate(F.regexp_extract("_rest", r"\A([^/?#]*)", 1), _UPPER, _UPPER.lower()))
-        .withColumn("path", F.regexp_extract("_rest", r"\A[^/?#]*([^?#]*)", 1))
-        .withColumn("query", F.regexp_extract("_rest", r"\A[^?#]*\?([^#]*)", 1))
-        .drop("_rest")
+    at = F.instr(u, "://")
+    rest = F.when(at > 0, F.substr(u, at + 3)).otherwise("")
+    return df.withColumns(
+        {
+            "host": F.translate(F.regexp_extract(rest, r"\A([^/?#]*)", 1), _UPPER, _UPPER.lower()),
+            "path": F.regexp_extract(rest, r"\A[^/?#]*([^?#]*)", 1),
+            "query": F.regexp_extract(rest, r"\A[^?#]*\?([^#]*)", 1),
+        }
     )
 
 
@@ -141,27 +115,26 @@ def _count(c, chars: str) -> Column:
 
 
 def with_features(df: DataFrame, url: str = "url") -> DataFrame:
-    """Adds the lexical features as doubles, and suffix (the host's last label)."""
+    """Adds the lexical features as doubles, and suffix (the host's last label), to rows with a URL's parts."""
     u = F.coalesce(F.col(url), F.lit(""))
-    n = F.greatest(F.length(u), F.lit(1))
-    df = df.withColumn("_u", u).withColumn("_n", n.cast("double")).withColumn("suffix", F.substring_index("host", ".", -1))
-    share = lambda c: (F.length("_u") - F.length(F.replace(F.col("_u"), c, F.lit("")))) / F.col("_n")
-    entropy = F.aggregate(F.transform(F.array_distinct(F.filter(F.split("_u", ""), lambda c: c != "")), lambda c: -share(c) * F.log2(share(c))), F.lit(0.0), lambda a, b: a + b)
-    digits = _count(F.col("_u"), "0123456789")
+    n = F.greatest(F.length(u), F.lit(1)).cast("double")
+    times = lambda c: (F.length(u) - F.length(F.replace(u, c, F.lit("")))) / n
+    entropy = F.aggregate(F.transform(F.array_distinct(F.filter(F.split(u, ""), lambda c: c != "")), lambda c: -times(c) * F.log2(times(c))), F.lit(0.0), lambda a, b: a + b)
+    digits = _count(u, "0123456789")
     columns = {
-        "url_length": F.length("_u"),
+        "url_length": F.length(u),
         "host_length": F.length("host"),
         "path_length": F.length("path"),
         "depth": _count(F.col("path"), "/"),
         "labels": F.when(F.col("host") == "", 0).otherwise(_count(F.col("host"), ".") + 1),
-        "digit_ratio": digits / F.col("_n"),
-        "symbol_ratio": (F.length("_u") - digits - F.length(F.regexp_replace("_u", "[^A-Za-z]", ""))) / F.col("_n"),
+        "digit_ratio": F.round(digits / n, 6),
+        "symbol_ratio": F.round((F.length(u) - digits - F.length(F.regexp_replace(u, "[^A-Za-z]", ""))) / n, 6),
         "entropy": F.round(entropy, 6),
         "parameters": F.when(F.col("query") == "", 0).otherwise(_count(F.col("query"), "&;") + 1),
         "hyphens": _count(F.col("host"), "-"),
         "longest_label": F.array_max(F.transform(F.split("host", r"\."), F.length)),
     }
-    return df.withColumns({k: c.cast("double") for k, c in columns.items()}).drop("_u", "_n")
+    return df.withColumns({**{k: c.cast("double") for k, c in columns.items()}, "suffix": F.substring_index("host", ".", -1)})
 
 
 @dataclass
@@ -220,15 +193,16 @@ def fit(labelled: DataFrame, key: str = "url", bound: int = LABELLED, rounds: in
     if total in (blocked, 0) or not blocked:
         return model
     pick = F.pmod(F.xxhash64(F.lit(11), F.coalesce(F.col(key), F.lit(""))), F.lit(_MILLION)) < int(_MILLION * min(1.0, bound / total))
-    rows = cut(known.where(pick).select("y", "suffix", *FEATURES[:-2]))
+    # About `bound` rows: in one partition the rounds below have no shuffle.
+    rows = cut(known.where(pick).select("y", "suffix", *FEATURES[:-2]).coalesce(1)).coalesce(1)
     model.suffixes = cut(rows.groupBy("suffix").agg(F.count("*").alias("_rows"), F.sum("y").alias("_blocked")))
-    own = rows.join(model.suffixes, "suffix").withColumn("suffix_rate", (F.col("_blocked") - F.col("y") + PRIOR * rate) / (F.col("_rows") - 1 + PRIOR)).withColumn("suffix_count", F.log2(F.col("_rows").cast("double")))
-    marks = own.agg(*(F.percentile_approx(f, [i / BINS for i in range(1, BINS)], 1000).alias(f) for f in FEATURES)).first()
+    own = rows.join(F.broadcast(model.suffixes), "suffix").withColumn("suffix_rate", F.round((F.col("_blocked") - F.col("y") + PRIOR * rate) / (F.col("_rows") - 1 + PRIOR), 6)).withColumn("suffix_count", F.round(F.log2(F.col("_rows").cast("double")), 6))
+    marks = own.agg(*(F.percentile_approx(f, [i / BINS for i in range(1, BINS)], 100 * bound).alias(f) for f in FEATURES)).first()
     if marks[0] is None:
         return model
     edges = {f: sorted(set(marks[f])) for f in FEATURES}
     binned = {f"_{f}": sum(((F.col(f) > e).cast("int") for e in edges[f]), F.lit(0)) for f in FEATURES}
-    own = cut(own.select("y", *FEATURES).withColumns(binned))
+    own = cut(own.select("y", *FEATURES).withColumns(binned)).coalesce(1)
     for _ in range(rounds):
         p = model.score()
         pulls = own.withColumn("_p", p).withColumn("_g", F.round((F.col("_p") - F.col("y")) * _MILLION).cast("long")).withColumn("_h", F.round(F.col("_p") * (1 - F.col("_p")) * _MILLION).cast("long"))
@@ -283,33 +257,33 @@ def with_score(df: DataFrame, model: Model) -> DataFrame:
         return df.withColumn("score", F.lit(float(model.rate)))
     joined = df.join(model.suffixes, "suffix", "left")  # as many rows as labelled suffixes; Spark broadcasts it if it is small
     n = F.coalesce("_rows", F.lit(0))
-    joined = joined.withColumn("suffix_rate", (F.coalesce("_blocked", F.lit(0)) + PRIOR * model.rate) / (n + PRIOR)).withColumn("suffix_count", F.log2(F.greatest(n, F.lit(1)).cast("double")))
+    joined = joined.withColumn("suffix_rate", F.round((F.coalesce("_blocked", F.lit(0)) + PRIOR * model.rate) / (n + PRIOR), 6)).withColumn("suffix_count", F.round(F.log2(F.greatest(n, F.lit(1)).cast("double")), 6))
     return joined.withColumn("score", model.score()).drop("_rows", "_blocked")
 
 
-def labelled_urls(spark) -> DataFrame:
-    """The built-in labelled URLs: url and y."""
-    rows = ", ".join(f"('{u}', {y})" for y, urls in ((1, BLOCKED_URLS), (0, ALLOWED_URLS)) for u in urls)
-    return spark.sql(f"SELECT url, y FROM VALUES {rows} AS t(url, y)")
+def labelled_urls(spark, n: int = EXAMPLES) -> DataFrame:
+    """The labelled table: url and y."""
+    return spark.createDataFrame([example_url(i) for i in range(n)], "url string, y int")
 
 
 def judge(df: DataFrame, labels: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
     """Adds host, path, rule, verdict (allow or block) and score to df.
 
-    labels: rows with a URL column of the same name and y (1: block). The rule's
-    verdict stands; where none fits, a score over one half blocks. Null and odd URLs
-    are judged like any other; repeated rows stay; columns of df named like the
-    new ones are replaced. An empty df gives no rows.
+    labels: rows with a URL column of the same name and y (1: block). The longest
+    fitting rule's verdict stands; of rules that tie, which name the same host
+    and path, the last one given. Where none fits, a score over one half blocks.
+    Null, empty and very long URLs are judged whole, like any other; repeated
+    rows stay; other columns keep their names and values, whatever they are
+    called, but for those added, which are replaced. An empty df gives no rows.
     """
-    extra = ("host", "path", "query", "rule", "verdict", "score", "suffix", *FEATURES)
-    kept = [c for c in df.columns if c not in extra]
-    plain = df.select(*(F.col(f"`{c}`") for c in kept))
+    kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict", "score")]
+    plain = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.col(f"`{url}`").alias("url"))
     name, verdict = rule_column(rules)
-    decided = with_parts(plain, url).withColumn("rule", name).withColumn("verdict", verdict)
-    model = fit(with_features(with_parts(labels.select(url, "y"), url), url), url)
-    scored = with_score(with_features(decided, url), model)
+    decided = with_parts(plain).withColumn("rule", name).withColumn("verdict", verdict)
+    model = fit(with_features(with_parts(labels.select(F.col(f"`{url}`").alias("url"), "y"))))
+    scored = with_score(with_features(decided), model)
     final = F.coalesce("verdict", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
-    return scored.select(*(F.col(f"`{c}`") for c in kept), "host", "path", "rule", final.alias("verdict"), "score")
+    return scored.select(*(F.col(f"row.`{c}`") for c in kept), "host", "path", "rule", final.alias("verdict"), F.round("score", 6).alias("score"))
 
 
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
@@ -318,4 +292,4 @@ def op1_url_filter(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_url_filter": op1_url_filter}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {}  # url_oracle has it

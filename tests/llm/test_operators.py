@@ -8,7 +8,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from quillmesh.llm import ann, byte_bpe, mpeg_audio, packing, pii, quality, sharding, simhash, token_store, url_filter
+from quillmesh.llm import ann, byte_bpe, mpeg_audio, packing, pii, quality, sharding, simhash, token_store, url_filter, url_oracle
 from quillmesh.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, score double"
@@ -95,8 +95,10 @@ def url_parts(url):
 
 
 def test_urls(spark):
-    urls = [None, "", "nothing", "http://A.Example.NET/en/x?y#z", "http://example.net/en", "https://net/", "x://a.net?q/1", "ftp://example.com/de/", "http://sub.example.com/de/1", "http://xexample.com/de/", "http://É.ORG/fr/é#x", "http://a.org/fr", "http://casino-best.example.com/a", "http://a://b/c", "http://h\n/p", "http://plain.example.com/en/1"] * 2
-    df = spark.createDataFrame([(i, u, "old", 1) for i, u in enumerate(urls)], "page_id long, url string, host string, extra int")
+    urls = [None, "", "nothing", "http://A.Example.NET/en/x?y#z", "http://example.net/en", "https://net/", "x://a.net?q/1", "ftp://example.com/de/", "http://sub.example.com/de/1", "http://xexample.com/de/", "http://É.ORG/fr/é#x", "http://a.org/fr", "http://casino-pills.example.com/en/77", "http://a://b/c", "http://h\n/p", "http://plain.example.com/en/1"] * 2
+    urls[2] = "http://long.example.com/" + "x/1" * 20_000 + "?a=1"
+    clashing = "page_id long, url string, host string, row int, y int, suffix int, suffix_rate int, _rows int, _n int, u int, depth int, query int, extra int"
+    df = spark.createDataFrame([(i, u, "old", *[1] * 10) for i, u in enumerate(urls)], clashing)
     got = {r["page_id"]: r for r in url_filter.judge(df, url_filter.labelled_urls(spark)).collect()}
     for i, u in enumerate(urls):
         host, path = url_parts(u)
@@ -105,9 +107,30 @@ def test_urls(spark):
         assert (got[i]["host"], got[i]["path"], got[i]["rule"]) == (host, path, rule[0]), u
         assert got[i]["verdict"] == rule[1] or not fits and got[i]["verdict"] == ("block" if got[i]["score"] > 0.5 else "allow")
     assert got[12]["verdict"] == "block" and got[15]["verdict"] == "allow"
+    assert set(df.columns) | {"path", "rule", "verdict", "score"} == set(got[0].asDict()) and got[0]["depth"] == got[0]["_n"] == got[0]["row"] == 1
     assert url_filter.judge(df.limit(0), url_filter.labelled_urls(spark).limit(0)).count() == 0
 
 
+def test_url_model_against_plain_python(spark):
+    """The trees are those that plain Python grows, use several features and hold on rows they weren't fitted on."""
+    table = [url_filter.example_url(i) for i in range(url_filter.EXAMPLES)]
+    seen, held = [x for i, x in enumerate(table) if i % 4], table[::4]
+    model = url_filter.fit(url_filter.with_features(url_filter.with_parts(spark.createDataFrame(seen, "url string, y int"))))
+    _, _, trees, suffixes = url_oracle.train(seen)
+    assert model.trees == trees
+    flat = lambda t: set() if isinstance(t, float) else {t[0]} | flat(t[2]) | flat(t[3])
+    assert len(set().union(*map(flat, trees))) >= 5 and any(not isinstance(t[2], float) and not isinstance(t[2][2], float) for t in trees)
+    rows = url_filter.with_score(url_filter.with_features(url_filter.with_parts(spark.createDataFrame(held, "url string, y int"))), model).collect()
+    assert sum((r["score"] > 0.5) == (r["y"] == 1) for r in rows) >= 0.95 * len(rows)
+    by_one = 0.0  # the best that any one threshold on any one feature does
+    for f in url_filter.FEATURES[:-2]:
+        values = [(url_oracle.features(u)[0][f], y) for u, y in table]
+        for edge in {v for v, _ in values}:
+            right = sum((v <= edge) == y for v, y in values) / len(values)
+            by_one = max(by_one, right, 1 - right)
+    assert by_one < 0.85
+
+
 def test_boosting_learns(spark):
     rows = spark.range(600).select(F.concat(F.lit("http://"), F.when(F.col("id") % 2 == 0, "aa-bb-1.example.com/").otherwise("aabb.example.com/"), F.col("id").cast("string")).alias("url"), (F.col("id") % 2 == 0).cast("int").alias("y"))
     rows = url_filter.with_features(url_filter.with_parts(rows))
