@@ -1,54 +1,42 @@
 """SimHash near-duplicates by pigeonhole blocks.
 
 A document's words are joined to shingles; each shingle is hashed with XXH64;
-a bit of the fingerprint is 1 if it is set in over half the hashes. The share
-of bits in which two fingerprints differ estimates the angle between the sets
-of shingles.
+a bit of the 64-bit fingerprint is 1 if it is set in over half the hashes.
 
 Equal fingerprints are one node (the smallest doc_id). The fingerprint is split
-into blocks; nodes that agree in a key of blocks are candidates, and the
-Hamming distance is verified:
-
-* up to 2 bits of 64: four blocks of 16 bits; two fingerprints that differ in
-  at most 2 bits agree in at least two blocks, so the six pairs of blocks find
-  every link.
-* more bits (similarity of shingle sets): blocks of BLOCK bits, as many as the
-  fingerprint holds. Here the pigeonhole can't promise every link: a pair whose
-  bits differ with probability p shares a block with 1 - (1 - (1-p)^BLOCK)^n.
-  With 1024 bits: 0.999 at a Jaccard similarity of 0.95, 0.96 at 0.9, 0.79 at
-  0.85, 0.57 at 0.8.
-
-A bucket of up to COLD (COLD_WIDE) nodes is joined with itself. Larger buckets never are:
-at 2 bits every node of such a bucket names the 64 fingerprints one bit away
-and its own; two fingerprints differ in at most 2 bits just if they share such
-a name, and nodes that share one are linked to the smallest of them. Otherwise
-the bucket is dealt into chunks, each pair of chunks is compared in one task,
-and only a spanning forest of its links leaves the task. Both ways are exact.
+into four blocks of 16 bits; two that differ in at most 2 bits agree in at least
+two blocks, so the six pairs of blocks as keys bring every link together, and
+the Hamming distance is verified.
+
+A bucket of up to COLD nodes is joined with itself. Larger buckets never are:
+every node of such a bucket names the 64 fingerprints one bit away and its own;
+two fingerprints differ in at most 2 bits just if they share such a name, and
+nodes that share one are linked to the smallest of them. Both ways are exact.
+
+Fingerprints can't decide a similarity of shingle sets of 0.8: pairs at 0.8
+differ in 15 % of the bits, so blocks wide enough to be selective miss many of
+them. `keep_one` therefore finds its candidates as `minhash` has it.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import cut, map_text, table, texts
 from quillmesh.llm.components import components
 
-BLOCK = 24
-#: Nodes of a bucket that is joined with itself, where fingerprints differ in up to 2 bits, and in more.
+BITS = 64
+#: Differing bits up to which blocks and names find every link.
+FAR = 2
+#: Nodes of a bucket that is joined with itself.
 COLD = 64
-COLD_WIDE = 8
-CHUNK = 1000
 #: Bytes of text in a batch: its hashes take some twenty times as much.
 BATCH = 2 << 20
 SEED = 42
-#: Odd multipliers that turn one 64-bit hash into more: multiples of the golden ratio's fraction.
-_GOLDEN = 0x9E3779B97F4A7C15
 
 
 def shingle_hashes(text: str, words: int) -> bytes:
@@ -96,157 +84,110 @@ def _majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(total * 2 > counts[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def fingerprint_words(hashes: list[bytes], bits: int) -> np.ndarray:
-    """Fingerprints as rows of 64-bit words; documents without hashes get zeros."""
+def fingerprint_words(hashes: list[bytes]) -> np.ndarray:
+    """Fingerprints of documents' hashes; of none, zero."""
     counts = np.array([len(x) // 8 for x in hashes], np.int64)
-    out = np.zeros((len(hashes), bits // 64), np.uint64)
+    out = np.zeros(len(hashes), np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
-        h = np.frombuffer(b"".join(hashes), ">u8").astype(np.uint64)
-        for j in range(bits // 64):
-            mixed = h
-            if j:
-                mixed = h * np.uint64((_GOLDEN * (2 * j + 1)) & 0xFFFFFFFFFFFFFFFF | 1)
-                mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-                mixed ^= mixed >> np.uint64(32)
-            out[some, j] = _majority(mixed, counts[some])
+        out[some] = _majority(np.frombuffer(b"".join(hashes), ">u8").astype(np.uint64), counts[some])
     return out
 
 
-def fingerprints(df: DataFrame, words: int = 5, bits: int = 64) -> DataFrame:
-    """doc_id and fp (array of 64-bit words, the first one of the plain hashes) of every row; null text is empty."""
-    if bits % 64 or bits < 64:
-        raise ValueError("bits must be a multiple of 64")
+def fingerprints(df: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id and fp of every row; null text is empty. Very long texts are read whole; other columns are left out."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        fp = fingerprint_words([shingle_hashes(t, words) for t in texts(b)], bits)
-        flat = pa.array(fp.ravel().view(np.int64))
-        lists = pa.ListArray.from_arrays(np.arange(0, fp.size + 1, bits // 64, dtype=np.int32), flat)
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), lists], names=["doc_id", "fp"])
-
-    return map_text(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, fp array<long>", BATCH)
-
-
-def distance_for(similarity: float, bits: int) -> int:
-    """The expected differing bits of two shingle sets with this Jaccard similarity."""
-    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
-def _keys(bits: int, exact: bool) -> list:
-    if exact:
-        part = [F.shiftrightunsigned(F.col("fp")[0], 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-        return [F.shiftleft(part[i], 16).bitwiseOR(part[j]) for i in range(4) for j in range(i)]
-    out = []
-    for at in range(0, bits - BLOCK + 1, BLOCK):
-        q, r = divmod(at, 64)
-        k = F.shiftrightunsigned(F.col("fp")[q], r)
-        if r + BLOCK > 64:
-            k = k.bitwiseOR(F.shiftleft(F.col("fp")[q + 1], 64 - r))
-        out.append(k.bitwiseAND(F.lit((1 << BLOCK) - 1)))
-    return out
-
-
-def _distance(words: int):
-    parts = [F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(words)]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return total
-
+        fp = fingerprint_words([shingle_hashes(t, words) for t in texts(b)])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
-def _forest(max_distance: int):
-    """Of a group's links a spanning forest."""
+    return map_text(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, fp long", BATCH)
 
-    def run(t: pa.Table) -> pa.Table:
-        ids = t.column("node").to_numpy()
-        fp = np.stack(t.column("fp").to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64)
-        first, a, b = np.arange(len(ids)), [], []
-        for i in range(len(ids) - 1):
-            near = i + 1 + np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]).sum(axis=1, dtype=np.int32) <= max_distance)
-            for r in np.unique(first[near]):
-                if r != first[i]:
-                    j = near[first[near] == r][0]
-                    a.append(ids[i])
-                    b.append(ids[j])
-                    first[first == r] = first[i]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return run
+def _keys() -> list:
+    part = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
+    return [F.shiftleft(part[i], 16).bitwiseOR(part[j]) for i in range(4) for j in range(i)]
 
 
-def links(nodes: DataFrame, bits: int, max_distance: int) -> DataFrame:
-    """Links (a, b) that join the same components as all pairs within max_distance do. nodes: node, fp, all distinct; a table."""
-    exact = bits == 64 and max_distance <= 2
-    most = COLD if exact else COLD_WIDE
-    keyed = nodes.select("node", F.posexplode(F.array(*_keys(bits, exact))).alias("t", "k")).select("node", F.shiftleft(F.col("t").cast("long"), 48).bitwiseOR(F.col("k")).alias("key"))
+def links(nodes: DataFrame, max_distance: int = FAR) -> DataFrame:
+    """Links (a, b) that join the same components as all pairs within max_distance (FAR at most) do. nodes: node, fp, all distinct; a table."""
+    if not 0 <= max_distance <= FAR:
+        raise ValueError(f"max_distance must be from 0 to {FAR}")
+    keyed = nodes.select("node", F.posexplode(F.array(*_keys())).alias("t", "k")).select("node", F.shiftleft(F.col("t").cast("long"), 48).bitwiseOR(F.col("k")).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(keyed.join(shared.hint("merge"), "key"))  # both grow with the corpus
-    cold = members.where(F.col("n") <= most)
+    cold = members.where(F.col("n") <= COLD)
     pairs = cold.select("key", F.col("node").alias("a")).join(cold.select("key", F.col("node").alias("b")), "key").where("a < b").select("a", "b").distinct()
     found = (
         pairs.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("x")), "a")
         .join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("y")), "b")
-        .where(_distance(bits // 64) <= max_distance)
+        .where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= max_distance)
         .select("a", "b")
     )
-    hot = members.where(F.col("n") > most)
-    if exact:
-        crowd = nodes.join(hot.select("node").distinct(), "node").select("node", F.col("fp")[0].alias("w"))
-        flips = F.array(F.lit(0).cast("long"), *(F.lit(-(1 << 63) if i == 63 else 1 << i).cast("long") for i in range(64)))
-        names = crowd.select("node", F.explode(F.transform(flips, lambda f: f.bitwiseXOR(F.col("w")))).alias("name"))
+    crowd = nodes.join(members.where(F.col("n") > COLD).select("node").distinct(), "node")
+    if max_distance < 2:  # then a name must be shared with the fingerprint that it is
+        one = crowd.select("node", F.col("fp").alias("name"))
+        near = _named(crowd, max_distance).join(one.withColumnRenamed("node", "b"), "name").where("node > b").select(F.col("node").alias("a"), "b")
+    else:
+        names = _named(crowd, 1)
         centre = names.groupBy("name").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("name", "b")
         near = names.join(centre, "name").where("node <> b").select(F.col("node").alias("a"), "b")
-    else:
-        chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)).cast("int")
-        dealt = hot.withColumn("c", chunk).select("key", "node", F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.col("n") / CHUNK).cast("int") - 1), lambda o: F.struct(F.least("c", o).alias("i"), F.greatest("c", o).alias("j")))).alias("p"))
-        near = dealt.select("key", "p", "node").join(nodes, "node").groupBy("key", "p.i", "p.j").applyInArrow(_forest(max_distance), "a long, b long")
     return found.union(near)
 
 
-def near_duplicates(df: DataFrame, words: int = 5, bits: int = 1024, max_distance: int | None = None, similarity: float = 0.8) -> DataFrame:
+def _named(crowd: DataFrame, far: int) -> DataFrame:
+    """node and name: each node's own fingerprint and, if far, those one bit away."""
+    flips = [F.lit(0).cast("long"), *(F.lit(-(1 << 63) if i == 63 else 1 << i).cast("long") for i in range(BITS if far else 0))]
+    return crowd.select("node", F.explode(F.transform(F.array(*flips), lambda f: f.bitwiseXOR(F.col("fp")))).alias("name"))
+
+
+def near_duplicates(df: DataFrame, words: int = 5, max_distance: int = FAR) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id (the smallest doc_id reachable over links) of every row.
 
-    Rows with a null doc_id get their fingerprint; they link nothing, and share
-    the component of equal fingerprints, if such have an id. Repeated rows stay.
-    Documents without words have fingerprint zero and are linked like others.
+    Null text is empty; documents without words, empty ones too, have fingerprint
+    zero and are linked like others. Rows with a null doc_id get their
+    fingerprint; they link nothing, and share the component of equal
+    fingerprints, if such have an id. Repeated rows stay, and tie. Very long
+    texts are read whole. An empty df gives no rows. Other columns of df,
+    whatever their names, are left out.
     """
-    far = distance_for(similarity, bits) if max_distance is None else max_distance
-    docs = cut(fingerprints(df, words, bits))
+    docs = cut(fingerprints(df, words))
     nodes = cut(docs.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    parts = components(links(nodes, bits, far))
+    parts = components(links(nodes, max_distance))
     named = nodes.join(parts, F.col("node") == F.col("vertex"), "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    text = F.array_join(F.transform("fp", lambda w: F.lpad(F.lower(F.hex(w)), 16, "0")), "")
-    return docs.join(named, "fp", "left").select("doc_id", text.alias("fingerprint"), "component_id")
+    return docs.join(named, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     """Fingerprints of 3-word shingles, linked at 2 or fewer differing bits."""
-    return near_duplicates(table(spark, sf_dir, "documents"), words=3, bits=64, max_distance=2)
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3)
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each group of near duplicates (five words, exact similarity 0.8 or more) the document with the smallest id.
+def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
+    """Of each group of near duplicates (five words, exact similarity 0.8 or more) the row with the smallest id.
 
-    Documents without an id all stay; of rows that repeat an id one stays, if
-    any of them is the one of its group. An id with rows in several groups
-    stands for a group only where no other id can, so that no group is lost
-    with the rows it repeats.
+    Rows without an id all stay; they stand for no group. Null and empty texts
+    are one group, very long ones are compared whole. Of rows that repeat an id
+    and a set of shingles one stays, the first by the hash of all its columns. An
+    id with rows in several groups stands for a group only where no other id can,
+    and then with one row for each such group. Columns keep their
+    names and values, whatever they are called. An empty df gives no rows.
     """
     from quillmesh.llm.minhash import similar, with_node
 
-    found = cut(similar(docs, COLD_WIDE))
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), (F.min("component") != F.max("component")).alias("torn"))
-    repeated = cut(ids.where("n > 1").select("doc_id", "torn"))
-    if repeated.isEmpty():
-        least = found.groupBy("component").agg(F.min("doc_id").alias("stays"))
-        gone = found.join(least, "component").where("doc_id <> stays").select("doc_id")
-        return docs.join(gone.hint("merge"), "doc_id", "left_anti")
-    rows = found.join(repeated, "doc_id", "left").withColumn("torn", F.coalesce("torn", F.lit(False)))
-    least = rows.groupBy("component").agg(F.min(F.struct("torn", "doc_id"))["doc_id"].alias("stays"))
-    stay = rows.join(least, "component").where("doc_id = stays").select("doc_id", "node").distinct()
-    # The node is that of the text: an id's other rows go.
-    named = with_node(docs.where("doc_id is not null")).join(stay.hint("merge"), ["doc_id", "node"], "left_semi")
-    return named.dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    rows, nodes = similar(docs, words)
+    key = F.col("doc_id").cast("long")
+    if rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        stays = nodes.groupBy("component").agg(F.min("doc_id").alias("_stays")).select("_stays")
+        return docs.join(stays.hint("merge"), key == F.col("_stays"), "left_semi").unionByName(docs.where("doc_id is null"))
+    placed = rows.distinct().join(nodes.select("node", "component"), "node")
+    torn = placed.groupBy("doc_id").agg((F.min("component") != F.max("component")).alias("torn"))
+    first = F.min(F.struct("torn", "doc_id", "node"))
+    stays = placed.join(torn, "doc_id").groupBy("component").agg(first.alias("s")).select("s.doc_id", "s.node")
+    whole = docs.where("doc_id is not null").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("doc_id"), F.col("text").cast("string").alias("text"))
+    named = with_node(whole, words).join(stays.hint("merge"), ["doc_id", "node"], "left_semi")
+    one = named.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "node").orderBy(F.xxhash64("row"))))
+    return one.where("r = 1").select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 QUERIES = {"op3_simhash": op3_simhash}

@@ -8,7 +8,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from quillmesh.llm import ann, byte_bpe, mpeg_audio, packing, pii, quality, sharding, simhash, token_store, url_filter, url_oracle
+from quillmesh.llm import ann, byte_bpe, minhash, mpeg_audio, packing, pii, quality, sharding, simhash, token_store, url_filter, url_oracle
 from quillmesh.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, score double"
@@ -33,42 +33,38 @@ def test_components_of_chains(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 200: 100}
 
 
-def test_simhash_links_as_brute_force(spark, odd, none):
+def test_simhash_links_as_brute_force(spark, odd, none, monkeypatch):
     rng = np.random.default_rng(0)
     base = [int(x) for x in rng.integers(0, 1 << 63, 12)]
     fps = base + [b ^ (1 << int(rng.integers(64))) ^ (1 << int(rng.integers(64))) for b in base for _ in range(6)]
     fps = sorted({f if f < 1 << 63 else f - (1 << 64) for f in fps})
-    nodes = spark.createDataFrame([(i, [f]) for i, f in enumerate(fps)], "node long, fp array<long>").cache()
+    nodes = spark.createDataFrame(list(enumerate(fps)), "node long, fp long").cache()
     far = lambda a, b: bin((a ^ b) & ((1 << 64) - 1)).count("1")
-    first = list(range(len(fps)))
-    for i in range(len(fps)):
-        for j in range(i):
-            if far(fps[i], fps[j]) <= 2:
-                a, b = sorted((first[i], first[j]))
-                first = [a if x == b else x for x in first]
-    want = {i: c for i, c in enumerate(first) if first.count(c) > 1}
-    for most in (64, 0):  # by joins, then every bucket as a large one
-        old, simhash.COLD = simhash.COLD, most
-        try:
-            got = {r["vertex"]: r["component"] for r in components(simhash.links(nodes, 64, 2)).collect()}
-        finally:
-            simhash.COLD = old
+    for most, distance in ((64, 2), (0, 2), (0, 1), (0, 0)):  # by joins, then every bucket as a large one
+        first = list(range(len(fps)))
+        for i in range(len(fps)):
+            for j in range(i):
+                if far(fps[i], fps[j]) <= distance:
+                    a, b = sorted((first[i], first[j]))
+                    first = [a if x == b else x for x in first]
+        want = {i: c for i, c in enumerate(first) if first.count(c) > 1}
+        monkeypatch.setattr(simhash, "COLD", most)
+        got = {r["vertex"]: r["component"] for r in components(simhash.links(nodes, distance)).collect()}
         assert got == want
+    with pytest.raises(ValueError):
+        simhash.links(nodes, 3)
     got = sorted((r["doc_id"] or -1, r["component_id"]) for r in simhash.near_duplicates(odd).collect())
     assert got == [(-1, None), (1, 1), (1, 1), (2, 2), (3, 2), (4, 4), (6, 1)]
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_wide_links_and_dedup(spark, odd):
+def test_dedup(spark, odd, monkeypatch):
     words = [f"w{i}" for i in range(400)]
     texts = [" ".join(words), " ".join([*words[:200], "x", *words[201:]]), " ".join(words[::-1]), "short text"] + [" ".join([*words[:i], "y", *words[i + 1 :]]) for i in range(0, 380, 40)]
     docs = spark.createDataFrame([(i + 10, t) for i, t in enumerate(texts)], "doc_id long, text string")
     for most in (64, 1):
-        old, simhash.COLD_WIDE = simhash.COLD_WIDE, most
-        try:
-            assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [10, 12, 13]
-        finally:
-            simhash.COLD_WIDE = old
+        monkeypatch.setattr(minhash, "COLD", most)
+        assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [10, 12, 13]
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns and sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 4]
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from conftest import SF
 
-from quillmesh.llm import simhash
+from quillmesh.llm import minhash, simhash
 
 
 def shingles(text):
@@ -50,7 +50,7 @@ def test_pairs_near_the_limit(spark):
 
 @pytest.mark.parametrize("most", [1, 8])
 def test_table_and_a_large_group(spark, most, monkeypatch):
-    monkeypatch.setattr(simhash, "COLD_WIDE", most)
+    monkeypatch.setattr(minhash, "COLD", most)
     rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
     docs = {r["doc_id"]: r["text"] or "" for r in rows}
     rng = np.random.default_rng(6)
@@ -80,7 +80,24 @@ def test_ids_repeated_with_other_texts(spark):
         ([(3, a), (5, a), (5, b)], [(3, a), (5, b)]),
         ([(7, a), (7, b), (9, b)], [(7, a), (9, b)]),
         ([(3, a), (5, a), (5, a), (None, a), (6, c), (6, c)], [(None, a), (3, a), (6, c)]),
+        ([(5, a), (5, b), (5, c), (5, c)], [(5, a), (5, b), (5, c)]),
     ):
         docs = spark.createDataFrame(rows, "doc_id long, text string")
         got = [tuple(r) for r in simhash.keep_one(docs).collect()]
-        assert sorted(got, key=lambda r: r[0] or -1) == want
+        assert sorted(got, key=lambda r: (r[0] or -1, r[1])) == want
+
+
+def test_large_keys_that_several_groups_share(spark, monkeypatch):
+    """Sets that share keys with the smallest one but aren't similar to it are still compared with each other."""
+    monkeypatch.setattr(minhash, "COLD", 2)
+    monkeypatch.setattr(minhash, "CHUNK", 7)
+    rng, docs = np.random.default_rng(8), {}
+    core = [f"c{k}" for k in range(160)]
+    for g in range(12):  # groups at about 0.7 of each other; within each about 0.85 and up
+        own = [f"g{g}w{k}" for k in range(40)]
+        for i in range(6):
+            words = core + list(own)
+            for at in rng.choice(200, size=int(rng.integers(0, 4)), replace=False):
+                words[at] = f"x{g}i{i}v{at}"
+            docs[100 * g + i] = " ".join(words)
+    assert kept(spark, docs) == kept_by_brute_force(docs)
