@@ -250,7 +250,12 @@ def coder(path: str, pattern: str) -> ByteBPE:
 
 
 def encode(df: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id and ids (array of int) of every row; null text is empty, and an empty text has no ids. Other columns are left out."""
+    """doc_id and ids (array of int) of every row.
+
+    Null text is empty, and an empty text has no ids; null doc_ids stay null.
+    Very long texts are encoded whole. Repeated rows stay. An empty df gives no
+    rows. Other columns, whatever their names, are left out.
+    """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = coder(path, pattern).encode(texts(b))
@@ -262,7 +267,7 @@ def encode(df: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
-    """doc_id, ids and decoded (the bytes) of every row; null ids are none."""
+    """doc_id, ids and decoded (the bytes) of every row; null ids are none. Repeated rows stay, an empty df gives no rows, other columns are left out."""
 
     def run(batches):
         if path not in _vocabularies:

@@ -281,7 +281,13 @@ def payload(data: bytes, m: Media) -> bytes:
 
 
 def to_media(df: DataFrame) -> DataFrame:
-    """doc_id, n_bytes (of the text in UTF-8) and media of every row; null text is empty. Other columns are left out."""
+    """doc_id, n_bytes (of the text in UTF-8) and media of every row.
+
+    Null text is empty, and an empty text is one frame of padding; null doc_ids
+    stay null. Very long texts are stored whole. Repeated rows stay; equal texts
+    make equal media. An empty df gives no rows. Other columns, whatever their
+    names, are left out.
+    """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         raw = [t.encode("utf-8", "surrogatepass") for t in texts(b)]
@@ -313,7 +319,12 @@ _INFO = pa.schema(
 
 
 def read_media(df: DataFrame, media: str = "media") -> DataFrame:
-    """The other columns of df, and what parse() finds in each media value, with its payload; null media has no frames."""
+    """The other columns of df, and what parse() finds in each media value, with its payload.
+
+    Null and empty media have no frames and an empty payload. Columns of df that
+    are named like those added are replaced; all others keep names and values.
+    Repeated rows stay, an empty df gives no rows.
+    """
     kept = [c for c in df.columns if c != media and c not in _INFO.names]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*(F.col(f"`{c}`") for c in kept)).schema)
 

@@ -201,7 +201,7 @@ class ShapeField:
         own, last, next_ = v[1:] @ self.own, v @ self.last, v @ self.next
         u = (own[:, None, None] + last[None, :, None] + next_[None, None]).reshape(-1, len(STATES))
         gain = self.trans - self.trans[0, 0]
-        return bool((u[:, 1:] - u[:, :1]).max() + max(0.0, float(gain.max())) < 0)
+        return bool((u[:, 1:] - u[:, :1]).max() + 2 * max(0.0, float(gain.max())) < 0)  # a labelled run of n words changes n + 1 transitions
 
 
 def _words(marked: str) -> tuple[list[str], list[int]]:
@@ -361,7 +361,13 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_spans(df: DataFrame, model: ShapeField | None = None) -> DataFrame:
-    """doc_id, base and added (arrays of kind, start, end) of every row; null text is empty. Repeated rows stay; other columns are left out."""
+    """doc_id, base and added (arrays of kind, start, end) of every row.
+
+    Null text is empty, and an empty text has no spans; null doc_ids stay null.
+    Very long texts are searched whole, line by line. Repeated rows stay, and
+    tie. An empty df gives no rows. Other columns, whatever their names, are
+    left out.
+    """
     model = model or default_field()
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -375,7 +381,12 @@ def find_spans(df: DataFrame, model: ShapeField | None = None) -> DataFrame:
 
 
 def mask_text(df: DataFrame, model: ShapeField | None = None) -> DataFrame:
-    """df with every span in text masked, and n_chars, if there is such a column, counted anew where text changed; null text stays null."""
+    """df with every span in text masked, and n_chars, if there is such a column, counted anew where text changed.
+
+    Null text stays null, empty text empty; very long texts are masked whole.
+    Repeated rows stay. Other columns keep their names and values, whatever they
+    are called. An empty df gives no rows.
+    """
     model = model or default_field()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -399,7 +410,9 @@ def op6_pii(spark, sf_dir: str) -> DataFrame:
     every = F.transform(F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(number(s).alias("n"), s["start"].alias("a"), s["end"].alias("b"), s.alias("s")))), lambda x: x["s"])
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     counts = [count(k) for k in KINDS[:4]]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(every).alias("spans"))
+    n = lambda c: F.size(c).cast("long")
+    more = [n(F.filter("added", lambda s: s["kind"] == "secret")).alias("n_secret"), n(F.col("added")).alias("n_added"), (n(F.col("base")) + n(F.col("added"))).alias("n_found")]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(every).alias("spans"), *more)
 
 
 QUERIES = {"op6_pii": op6_pii}

@@ -170,7 +170,13 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> LineField:
 
 
 def score(df: DataFrame, field: LineField) -> DataFrame:
-    """doc_id and score of every row; null text is empty and is scored as one empty line. Repeated rows stay; other columns are left out."""
+    """doc_id and score of every row.
+
+    Null text is empty, and an empty text is scored as one empty line; null
+    doc_ids stay null. Very long texts are scored whole. Repeated rows stay and
+    tie. An empty df gives no rows. Other columns, whatever their names, are
+    left out.
+    """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(field.score(texts(b)), pa.float64())], names=["doc_id", "score"])
@@ -179,7 +185,7 @@ def score(df: DataFrame, field: LineField) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, field: LineField, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score at least the threshold, with all their columns."""
+    """The rows of docs that score at least the threshold, with all their columns, whatever those are called; nulls, long texts and repeated rows as score() has them."""
     names = docs.columns
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -77,7 +77,9 @@ def example_url(i: int) -> tuple[str, int]:
         host, path = pick(WORDS) + r.choice(("", "", pick(WORDS))), f"/{pick(TOPICS)}/{number(r.randrange(1, 5))}{tail}"
     elif kind < 0.7:  # a hyphenated host with a titled page
         host, path = f"{pick(WORDS)}-{pick(WORDS)}", f"/{pick(WORDS)}/{'-'.join(r.choices(WORDS, k=r.randrange(2, 6)))}"
-    elif kind < 0.85:  # a search: parameters of words
+    elif kind < 0.8:  # an archive: a numbered host, and pages with long numbers
+        host, path = pick(WORDS) + number(r.randrange(1, 3)), f"/{pick(TOPICS)}/{number(r.randrange(6, 10))}{tail}"
+    elif kind < 0.9:  # a search: parameters of words
         host, path = pick(WORDS), "/find?" + "&".join(f"{c}={pick(WORDS)}" for c in r.sample("abcdefguvw", r.randrange(3, 6)))
     else:  # a deep path of words
         host, path = pick(WORDS), "".join(f"/{pick(WORDS)}" for _ in range(r.randrange(4, 8))) + f"/{number(1)}"

@@ -69,7 +69,8 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        # Their strings in a text are their ids; such a text goes through the library whole. Some are looked for in lower-cased text.
+        self.added = [(t.content.lower(), True) if t.normalized else (t.content, False) for t in self.whole.get_added_tokens_decoder().values()]
         self.model = Tokenizer(self.whole.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = self.whole.get_vocab(with_added_tokens=False)
@@ -116,6 +117,12 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids; an empty text has none."""
+        special = [i for i, t in enumerate(texts) if any(a in (t.lower() if low else t) for a, low in self.added)]
+        if special:
+            out = self.encode(["" if i in special else t for i, t in enumerate(texts)])
+            for i in special:
+                out[i] = np.array(self.whole.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+            return out
         flat: list[str] = []
         ends = [0]
         for t in texts:

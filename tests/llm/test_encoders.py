@@ -37,10 +37,10 @@ def test_byte_bpe_is_tiktoken():
 def test_word_encoder_is_the_library():
     path = public.path("word_bpe_49k.json")
     peer = Tokenizer.from_file(path)
-    peer.encode_special_tokens = True
     mine = word_tokens.WordEncoder(path)
+    cases = [*ODD, "a <|endoftext|> b", "a<|ENDOFTEXT|>b", "x<|startoftext|>y's", "<|endoftext|", "é <|endoftext|>\n\n<|startoftext|>É"]
     for _ in range(2):  # again from memory
-        for t, ids in zip(ODD, mine.encode(ODD)):
+        for t, ids in zip(cases, mine.encode(cases)):
             assert np.frombuffer(ids, "<u4").tolist() == peer.encode(t, add_special_tokens=False).ids, t
 
 
@@ -56,18 +56,10 @@ def fingerprint(text, k):
 def test_fingerprints():
     cases = [*ODD, "One two  three\tfour ÉÉ ONE two three", "a b c " * 50, "\x0b\x0c"]
     for k in (1, 3, 5):
-        got = simhash.fingerprint_words([simhash.shingle_hashes(t, k) for t in cases], 64)[:, 0]
+        got = simhash.fingerprint_words([simhash.shingle_hashes(t, k) for t in cases])
         assert got.tolist() == [fingerprint(t, k) for t in cases]
 
 
-def test_wide_fingerprints_tell_similarity():
-    words = [f"w{i}" for i in range(600)]
-    near = [*words[:300], "x", *words[301:]]
-    a, b, c = simhash.fingerprint_words([simhash.shingle_hashes(" ".join(w), 5) for w in (words, near, words[::-1])], 1024)
-    far = lambda x, y: int(np.bitwise_count(x ^ y).sum())
-    assert far(a, b) <= simhash.distance_for(0.9, 1024) < simhash.distance_for(0.8, 1024) < far(a, c)
-
-
 def test_seekable_files():
     docs = [(5, b"\1\0\0\0" * 9), (7, b""), (None, b"\2\0\0\0"), (-3, np.arange(5000, dtype="<u4").tobytes())]
     sink = io.BytesIO()
