@@ -264,8 +264,9 @@ def with_score(df: DataFrame, model: Model) -> DataFrame:
 
 
 def labelled_urls(spark, n: int = EXAMPLES) -> DataFrame:
-    """The labelled table: url and y."""
-    return spark.createDataFrame([example_url(i) for i in range(n)], "url string, y int")
+    """The labelled table: url and y, as literal rows, so that no Python worker is needed."""
+    rows = ", ".join(f"('{u}', {y})" for u, y in map(example_url, range(n)))
+    return spark.sql(f"SELECT url, y FROM VALUES {rows} AS t(url, y)")
 
 
 def judge(df: DataFrame, labels: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
