@@ -24,11 +24,11 @@ import numpy as np
 from quillmesh.llm.common import remember
 
 #: Bytes of words with their ids, and of parts of words, that a worker remembers; ENTRY is what each takes besides its characters and ids.
-MEMO = 64 << 20
-MEMO_PARTS = 32 << 20
+MEMO = 96 << 20
+MEMO_PARTS = 48 << 20
 ENTRY = 180
 #: Bytes of text in a batch: its words take some ten times as much.
-BATCH = 3 << 20
+BATCH = 4 << 20
 #: Longer words are encoded each time they occur.
 MEMO_CHARS = 64
 #: Words given to the library's model as one text.
