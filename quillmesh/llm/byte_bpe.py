@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 from quillmesh.llm.common import map_text, pieces, remember, ship, table, texts
 
-MEMO = 500_000
+MEMO = 360_000
 MEMO_CHARS = 64
 #: Distinct words whose merges are replayed together, and bytes of text or ids in a batch.
-WORDS = 250_000
-BATCH = 4 << 20
+WORDS = 150_000
+BATCH = 3 << 20
 #: Parts text parts from each other where many are split at once, and ends a part among ids.
 _PART, _END = "\0", b"\xff\xff\xff\xff"
 
