@@ -24,13 +24,11 @@ def _modules():
 
 
 def queries() -> dict:
-    """One query for each operator, and the pipeline over all its stages."""
+    """One query for each operator."""
     out = {}
     for m in _modules():
         out |= m.QUERIES
-    import corpus_pipeline
-
-    return out | {"pipeline": corpus_pipeline.run}
+    return out
 
 
 def oracle_sql() -> dict:
@@ -41,6 +39,4 @@ def oracle_sql() -> dict:
     for m in _modules():
         out |= m.ORACLES
     out["op1_url_filter"] = url_oracle.sql()
-    import corpus_pipeline
-
-    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return out
