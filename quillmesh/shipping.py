@@ -33,4 +33,5 @@ def spread(df: DataFrame) -> DataFrame:
     A table of many files, as any large one is, stays as it is: no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    files = len(df._jdf.inputFiles())  # the count alone: a large table's names stay in the JVM
+    return df.repartition(cores) if files < cores else df
