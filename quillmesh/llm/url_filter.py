@@ -150,25 +150,28 @@ class Model:
 
     def score(self) -> Column:
         """Probability of a block, from the feature columns."""
-        total = F.lit(self.base)
-        for t in self.trees:
-            total = total + _tree(t)
-        return 1 / (1 + F.exp(-total))
+        total = " + ".join([_number(self.base), *map(_tree, self.trees)])
+        return F.expr(f"1D / (1D + exp(-({total})))")
 
 
-def _tree(t) -> Column:
+# Trees are SQL text: one call to the JVM for an expression, however many nodes it has.
+def _number(x: float) -> str:
+    return f"{float(x)!r}D"
+
+
+def _tree(t) -> str:
     if isinstance(t, float):
-        return F.lit(t)
+        return _number(t)
     name, at, low, high = t
-    return F.when(F.col(name) <= at, _tree(low)).otherwise(_tree(high))
+    return f"CASE WHEN `{name}` <= {_number(at)} THEN {_tree(low)} ELSE {_tree(high)} END"
 
 
-def _leaf_id(t, at: int = 1) -> Column:
+def _leaf_id(t, at: int = 1) -> str:
     """The number of the leaf a row falls in: the root is 1, children of k are 2k and 2k + 1."""
     if isinstance(t, float):
-        return F.lit(at)
+        return str(at)
     name, cut_at, low, high = t
-    return F.when(F.col(name) <= cut_at, _leaf_id(low, 2 * at)).otherwise(_leaf_id(high, 2 * at + 1))
+    return f"CASE WHEN `{name}` <= {_number(cut_at)} THEN {_leaf_id(low, 2 * at)} ELSE {_leaf_id(high, 2 * at + 1)} END"
 
 
 def _grow(t, splits: dict, at: int = 1):
@@ -203,18 +206,16 @@ def fit(labelled: DataFrame, key: str = "url", bound: int = LABELLED, rounds: in
     if marks[0] is None:
         return model
     edges = {f: sorted(set(marks[f])) for f in FEATURES}
-    binned = {f"_{f}": sum(((F.col(f) > e).cast("int") for e in edges[f]), F.lit(0)) for f in FEATURES}
-    own = cut(own.select("y", *FEATURES).withColumns(binned)).coalesce(1)
+    bins = (" + ".join(["0", *(f"CAST(`{f}` > {_number(e)} AS INT)" for e in edges[f])]) for f in FEATURES)
+    own = cut(own.select("y", *FEATURES, F.expr(f"array({', '.join(bins)})").alias("_bins"))).coalesce(1)
     for _ in range(rounds):
-        p = model.score()
-        pulls = own.withColumn("_p", p).withColumn("_g", F.round((F.col("_p") - F.col("y")) * _MILLION).cast("long")).withColumn("_h", F.round(F.col("_p") * (1 - F.col("_p")) * _MILLION).cast("long"))
+        pulls = own.withColumn("_p", model.score()).selectExpr("*", f"CAST(round((_p - y) * {_MILLION}) AS BIGINT) AS _g", f"CAST(round(_p * (1 - _p) * {_MILLION}) AS BIGINT) AS _h")
         tree, sums = 0.0, {}
         for level in range(depth):
             cells = (
-                pulls.withColumn("_at", _leaf_id(tree))
-                .select("_at", "_g", "_h", F.posexplode(F.array(*(f"_{f}" for f in FEATURES))).alias("_f", "_b"))
+                pulls.selectExpr(f"{_leaf_id(tree)} AS _at", "_g", "_h", "posexplode(_bins) AS (_f, _b)")
                 .groupBy("_at", "_f", "_b")
-                .agg(F.sum("_g").alias("g"), F.sum("_h").alias("h"), F.count("*").alias("n"))
+                .agg(F.expr("sum(_g) AS g"), F.expr("sum(_h) AS h"), F.expr("count(*) AS n"))
                 .collect()
             )  # at most 2^depth * features * bins rows
             splits, new = _best(cells, edges)
