@@ -23,6 +23,8 @@ ENTRIES = "root_ord int, root string, rel_path string, is_dir boolean, content s
 _SCHEMA = pa.schema([("root_ord", pa.int32()), ("root", pa.string()), ("rel_path", pa.string()), ("is_dir", pa.bool_()), ("content", pa.string()), ("read_error", pa.string())])
 #: Paths in one partition.
 SLICE = 500
+#: Bytes of contents after which a batch goes to Spark.
+BATCH_BYTES = 8 << 20
 
 
 class Slice(InputPartition):
@@ -47,17 +49,26 @@ class TreeReader(DataSourceReader):
         return [Slice(found[i : i + SLICE]) for i in range(0, len(found), SLICE)] or [Slice([])]
 
     def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
-        rows = []
+        rows, size = [], 0
         for n, root, rel, is_dir in partition.entries:
             content = error = None
             if self.contents and not is_dir and (rel.endswith(".md") or os.path.join(root, rel) in self.also):
                 try:
                     with open(os.path.join(root, rel), "rb") as f:
-                        content = f.read().decode("utf-8")
+                        raw = f.read()
+                    size += len(raw)
+                    content = raw.decode("utf-8")
                 except (OSError, UnicodeDecodeError) as e:
                     error = f"{type(e).__name__}: {e}"
             rows.append((n, root, rel, is_dir, content, error))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, _SCHEMA)], schema=_SCHEMA)
+            if size >= BATCH_BYTES:
+                yield _batch(rows)
+                rows, size = [], 0
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_SCHEMA), _SCHEMA)], schema=_SCHEMA)
 
 
 class TreeSource(DataSource):

@@ -7,6 +7,7 @@ import pytest
 from quillmesh.cli import main
 from quillmesh.plans import audit, validate
 from quillmesh.sources.config import Root, load_manifest
+from quillmesh.sources import tree
 from quillmesh.sources.tree import read_tree
 
 MANIFEST = """okf_version: "0.1"
@@ -39,6 +40,16 @@ def test_tree_lists_hidden_empty_and_unreadable(spark, kb):
     assert rows[".hid/e.md"]["content"] == "" and rows["latin.md"]["content"] is None and "UnicodeDecodeError" in rows["latin.md"]["read_error"] and rows["sub"]["is_dir"]
 
 
+def test_tree_batches_are_bounded_by_bytes(kb, monkeypatch):
+    monkeypatch.setattr(tree, "BATCH_BYTES", 1)
+    reader = tree.TreeReader({"roots": str(kb / "notes")})
+    batches = [b for s in reader.partitions() for b in reader.read(s)]
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert max(sum(bool(r["content"]) for r in b.to_pylist()) for b in batches) == 1
+    assert {r["rel_path"] for r in rows} >= {"one.md", "sub/two.md", ".hid/e.md", "latin.md", "pic.png", "sub"} and len(rows) == len({r["rel_path"] for r in rows})
+    assert list(reader.read(tree.Slice([])))[0].num_rows == 0
+
+
 def test_validate(spark, kb, capsys):
     (kb / "notes/latin.md").unlink()
     (kb / "notes/.hid/e.md").unlink()
