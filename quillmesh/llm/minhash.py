@@ -1,170 +1,7 @@
-"""Groups of texts whose shingle sets have an exact Jaccard similarity of 4/5 or more.
+"""The name that tests know `near` by, from when its candidates were MinHash's."""
 
-Equal sets are one node. Candidates agree in one of BANDS keys, each of ROWS
-minima of hashed shingles: a pair of similarity s is one with probability
-1 - (1 - s^ROWS)^BANDS, which is 0.99994 at 0.8. Each candidate is decided by
-its sets of 64-bit shingle hashes: |A & B| * 9 >= (|A| + |B|) * 4.
+import sys
 
-A key's nodes, if few, are joined with each other. Of more, each is compared
-with the smallest one: a group of near copies, however large, is one component
-after that. Only keys whose nodes are still of several components are dealt
-into chunks; each pair of chunks is compared in one task, but for nodes that are
-of one component already, and only a spanning forest of its links leaves it.
-"""
+from quillmesh.llm import near
 
-from __future__ import annotations
-
-import hashlib
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from quillmesh.llm.common import cut, map_text, texts
-from quillmesh.llm.components import components
-from quillmesh.llm.simhash import BATCH, shingle_hashes
-
-BANDS = 32
-ROWS = 6
-#: Nodes of a key that are joined with each other.
-COLD = 8
-CHUNK = 1000
-#: Bytes of sets in a chunk, if it is more than one set.
-CHUNK_BYTES = 8 << 20
-
-_rng = np.random.default_rng(11)
-_XOR, _ODD = _rng.integers(1 << 64, size=(2, BANDS, ROWS), dtype=np.uint64)
-_ODD |= np.uint64(1)
-
-
-def shingle_set(text: str, words: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles, sorted."""
-    return np.unique(np.frombuffer(shingle_hashes(text, words), ">u8").astype(np.uint64))
-
-
-def node_of(s: np.ndarray) -> int:
-    """A long that stands for the set."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "big", signed=True)
-
-
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of BANDS longs for each set, none of which is empty."""
-    out = np.zeros((len(sets), BANDS), np.uint64)
-    if sets:
-        flat = np.concatenate(sets)
-        starts = np.cumsum([0, *map(len, sets[:-1])])
-        for i in range(BANDS):
-            key = np.full(len(sets), i, np.uint64)
-            for x, odd in zip(_XOR[i], _ODD[i]):
-                key = (key ^ np.minimum.reduceat((flat ^ x) * odd, starts)) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
-            out[:, i] = key
-    return out.view(np.int64)
-
-
-def with_node(df: DataFrame, words: int = 5) -> DataFrame:
-    """All columns of df (doc_id, text and others), and node."""
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        nodes = [node_of(shingle_set(t, words)) for t in texts(b)]
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64())], names=[*b.schema.names, "node"])
-
-    return map_text(df, run, df.withColumn("node", F.lit(0).cast("long")).schema, BATCH)
-
-
-def _sketches(df: DataFrame, words: int) -> DataFrame:
-    """doc_id, node, size of the set, and keys (none for an empty set)."""
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t, words) for t in texts(b)]
-        sizes = np.array([len(s) for s in sets], np.int64)
-        keys = pa.array(band_keys([s for s in sets if len(s)]).ravel())
-        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum((sizes > 0) * BANDS)]).astype(np.int32), keys)
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([node_of(s) for s in sets], pa.int64()), pa.array(sizes), lists], names=["doc_id", "node", "size", "keys"])
-
-    return map_text(df, run, "doc_id long, node long, size long, keys array<long>", BATCH)
-
-
-def _sets(df: DataFrame, named: DataFrame, words: int) -> DataFrame:
-    """node and set (bytes) of the nodes in named, each with the doc_id of a row that has it."""
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t, words) for t in texts(b)]
-        at = [i for i, (s, n) in enumerate(zip(sets, b.column("node").to_pylist())) if node_of(s) == n]  # an id may have other texts too
-        return pa.RecordBatch.from_arrays([b.column("node").take(pa.array(at, pa.int64())), pa.array([sets[i].tobytes() for i in at], pa.binary())], names=["node", "set"])
-
-    return map_text(df.join(named, "doc_id").select("node", "text"), run, "node long, set binary", BATCH).dropDuplicates(["node"])
-
-
-def _forest(t: pa.Table) -> pa.Table:
-    """Of a group's links a spanning forest, over what its components join already."""
-    ids = t.column("node").to_numpy()
-    sets = [np.frombuffer(s, np.uint64) for s in t.column("set").to_pylist()]
-    sizes = np.array([len(s) for s in sets], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    at = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
-    held = np.zeros(int(at.max()) + 1, np.int32)
-    _, known, first = np.unique(t.column("component").to_numpy(), return_index=True, return_inverse=True)
-    first, a, b = known[first], [], []
-    for i in range(len(ids) - 1):
-        if (first[i + 1 :] == first[i]).all():
-            continue
-        mine = at[starts[i] : starts[i + 1]]
-        held[mine] = 1
-        both = np.add.reduceat(held[at[starts[i + 1] :]], starts[i + 1 : -1] - starts[i + 1])
-        held[mine] = 0
-        near = i + 1 + np.flatnonzero(both * 9 >= (sizes[i + 1 :] + sizes[i]) * 4)
-        for r in np.unique(first[near]):
-            if r != first[i]:
-                a.append(ids[i])
-                b.append(ids[near[first[near] == r][0]])
-                first[first == r] = first[i]
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def _confirmed(batches):
-    for t in batches:
-        good = []
-        for x, y in zip(t.column("x").to_pylist(), t.column("y").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            good.append(9 * len(np.intersect1d(x, y, assume_unique=True)) >= 4 * (len(x) + len(y)))
-        yield t.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-
-def similar(df: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Of every row with an id its doc_id and node, and of every node its smallest doc_id and component: two tables.
-
-    Rows are of one component if a chain of similar sets joins them. Null text
-    is empty, and all empty texts are one node.
-    """
-    df = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    docs = cut(_sketches(df, words))
-    nodes = cut(docs.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min(F.struct("node", "size")).alias("least")).where("n > 1")
-    members = cut(keyed.join(shared.hint("merge"), "key"))  # both grow with the corpus
-    cold, hot = members.where(F.col("n") <= COLD), members.where(F.col("n") > COLD)
-    one, other = (cold.select("key", F.col("node").alias(n), F.col("size").alias(f"{n}_size")) for n in "ab")
-    stars = hot.select(F.col("least.node").alias("a"), F.col("least.size").alias("a_size"), F.col("node").alias("b"), F.col("size").alias("b_size"))
-    both = one.join(other, "key").select("a", "a_size", "b", "b_size").unionByName(stars)
-    pairs = cut(both.where("a < b and 5 * least(a_size, b_size) >= 4 * greatest(a_size, b_size)").select("a", "b").distinct())
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")).distinct()
-    sets = cut(_sets(df, nodes.select("node", "doc_id").join(wanted, "node"), words))
-    found = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
-        .select("a", "b", "x", "y")
-        .mapInArrow(_confirmed, "a long, b long")
-    )
-    parts = components(found)
-    placed = cut(hot.join(parts, F.col("node") == F.col("vertex"), "left").select("key", "node", "n", "total", F.coalesce("component", "node").alias("component")))
-    torn = placed.groupBy("key").agg((F.min("component") != F.max("component")).alias("torn")).where("torn").select("key")
-    open_ = cut(placed.join(torn, "key", "left_semi"))
-    if not open_.isEmpty():
-        many = open_.withColumn("many", F.greatest(F.ceil(F.col("n") / CHUNK), F.least("n", F.ceil(F.col("total") * 8 / CHUNK_BYTES))).cast("int")).withColumn("c", F.pmod(F.xxhash64("node"), F.col("many")).cast("int"))
-        dealt = many.select("key", "node", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda o: F.struct(F.least("c", o).alias("i"), F.greatest("c", o).alias("j")))).alias("p"))
-        near = dealt.join(sets, "node").groupBy("key", "p.i", "p.j").applyInArrow(lambda t: _forest(t.select(["node", "component", "set"])), "a long, b long")
-        parts = components(parts.select(F.col("vertex").alias("a"), F.col("component").alias("b")).union(near))
-    named = nodes.join(parts, F.col("node") == F.col("vertex"), "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    return docs.select("doc_id", "node"), named
+sys.modules[__name__] = near

@@ -13,9 +13,8 @@ every node of such a bucket names the 64 fingerprints one bit away and its own;
 two fingerprints differ in at most 2 bits just if they share such a name, and
 nodes that share one are linked to the smallest of them. Both ways are exact.
 
-Fingerprints can't decide a similarity of shingle sets of 0.8: pairs at 0.8
-differ in 15 % of the bits, so blocks wide enough to be selective miss many of
-them. `keep_one` therefore finds its candidates as `minhash` has it.
+`keep_one` goes the same way with wider fingerprints, for pairs of a similarity
+of shingle sets of 0.8 differ in 15 % of the bits; an exact check follows (`near`).
 """
 
 from __future__ import annotations
@@ -37,6 +36,8 @@ COLD = 64
 #: Bytes of text in a batch: its hashes take some twenty times as much.
 BATCH = 2 << 20
 SEED = 42
+#: Odd multipliers that turn a hash into others.
+_ODD = np.random.default_rng(11).integers(1 << 64, size=64, dtype=np.uint64) | np.uint64(1)
 
 
 def shingle_hashes(text: str, words: int) -> bytes:
@@ -53,17 +54,21 @@ def shingle_hashes(text: str, words: int) -> bytes:
     return b"".join([h(joined[a:b], SEED) for a, b in zip(starts[: 1 - words].tolist() if words > 1 else starts.tolist(), (ends[words - 1 :] - 1).tolist())])
 
 
-def _majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For runs of counts hashes each the 64-bit words of the bits set in over half; counts are 1 or more."""
-    groups = -(-counts // 16)
-    padded = np.zeros(int(groups.sum()) * 16, np.uint64)
+def _laid_out(h: np.ndarray, counts: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of counts (1 or more) hashes each as columns of `rows`, padded with zeros, and each run's first column."""
+    groups = -(-counts // rows)
+    padded = np.zeros(int(groups.sum()) * rows, np.uint64)
     first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    into = np.concatenate([[0], np.cumsum(groups)[:-1]]) * 16
-    padded[np.arange(len(h)) + np.repeat(into - first, counts)] = h
-    x = np.ascontiguousarray(padded.reshape(-1, 16).T)
-    # Carry-save adders sum 16 hashes bit by bit into five planes.
-    planes: list[list[np.ndarray]] = [list(x), [], [], [], []]
-    for k in range(4):
+    into = np.concatenate([[0], np.cumsum(groups)[:-1]])
+    padded[np.arange(len(h)) + np.repeat(into * rows - first, counts)] = h
+    return np.ascontiguousarray(padded.reshape(-1, rows).T), into
+
+
+def _over_half(x: np.ndarray, into: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each run of such columns (of a power of two, 128 at most) the 64-bit word of the bits set in over half of its hashes."""
+    # Carry-save adders sum a column's hashes bit by bit into planes.
+    planes: list[list[np.ndarray]] = [list(x), *([] for _ in range(len(x).bit_length() - 1))]
+    for k in range(len(planes) - 1):
         row = planes[k]
         while len(row) > 1:
             a, b = row.pop(), row.pop()
@@ -80,10 +85,30 @@ def _majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
         for plane in row:
             bits = np.unpackbits(plane.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
             sums += bits << k
-    total = np.add.reduceat(sums, into // 16, axis=0, dtype=np.int32)
+    total = np.add.reduceat(sums, into, axis=0, dtype=np.int32)
     return np.packbits(total * 2 > counts[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
+def _majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For runs of counts hashes each the 64-bit words of the bits set in over half; counts are 1 or more."""
+    return _over_half(*_laid_out(h, counts, 16), counts)
+
+
+def wide_fingerprints(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """A row of 64-bit words for each set of hashes, none of which is empty; each word is of hashes made from these."""
+    out = np.zeros((len(sets), words), np.uint64)
+    if sets:
+        counts = np.array([len(s) for s in sets], np.int64)
+        x, into = _laid_out(np.concatenate(sets), counts, 64)
+        for j in range(words):
+            mixed = x * _ODD[j]  # the padding stays zero
+            mixed ^= mixed >> np.uint64(31)
+            mixed *= np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(32)
+            out[:, j] = _over_half(mixed, into, counts)
+    return out
+
+
 def fingerprint_words(hashes: list[bytes]) -> np.ndarray:
     """Fingerprints of documents' hashes; of none, zero."""
     counts = np.array([len(x) // 8 for x in hashes], np.int64)
@@ -166,6 +191,8 @@ def op3_simhash(spark, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     """Of each group of near duplicates (five words, exact similarity 0.8 or more) the row with the smallest id.
 
+    Candidates come by fingerprints, blocks and Hamming distance; links that their
+    exact similarity confirms make the groups.
     Rows without an id all stay; they stand for no group. Null and empty texts
     are one group, very long ones are compared whole. Of rows that repeat an id
     and a set of shingles one stays, the first by the hash of all its columns. An
@@ -173,7 +200,7 @@ def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     and then with one row for each such group. Columns keep their
     names and values, whatever they are called. An empty df gives no rows.
     """
-    from quillmesh.llm.minhash import similar, with_node
+    from quillmesh.llm.near import similar, with_node
 
     rows, nodes = similar(docs, words)
     key = F.col("doc_id").cast("long")
