@@ -54,6 +54,8 @@ WIDE = 512
 PAIRS = 1 << 20
 #: Nodes of a group that are joined with each other.
 COLD = 8
+#: Smallest nodes of larger groups that a node is compared with before its groups are known to be of one component; all else is compared if they aren't.
+STARS = 4
 CHUNK = 1000
 #: Bytes of sets in a chunk, if it is more than one set.
 CHUNK_BYTES = 8 << 20
@@ -255,7 +257,8 @@ def similar(df: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame]:
     members = cut(keyed.join(shared.hint("merge"), "key"))  # both grow with the corpus
     cold, hot = members.where(F.col("n") <= COLD), members.where(F.col("n") > COLD)
     one, other = (cold.select("key", F.col("node").alias(n), F.col("size").alias(f"{n}_size")) for n in "ab")
-    stars = hot.select(F.col("least.node").alias("a"), F.col("least.size").alias("a_size"), F.col("node").alias("b"), F.col("size").alias("b_size"))
+    hubs = hot.groupBy("node", "size").agg(F.slice(F.sort_array(F.collect_set("least")), 1, STARS).alias("hubs"))
+    stars = hubs.select(F.explode("hubs").alias("h"), "node", "size").select(F.col("h.node").alias("a"), F.col("h.size").alias("a_size"), F.col("node").alias("b"), F.col("size").alias("b_size"))
     both = one.join(other, "key").select("a", "a_size", "b", "b_size").unionByName(stars)
     pairs = cut(both.where("a < b and 5 * least(a_size, b_size) >= 4 * greatest(a_size, b_size)").select("a", "b").distinct())
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(hot.select("node")).distinct()
