@@ -208,6 +208,19 @@ def _sets(df: DataFrame, named: DataFrame, words: int) -> DataFrame:
     return map_text(df.join(named, "doc_id").select("node", "text"), run, "node long, set binary", BATCH).dropDuplicates(["node"])
 
 
+def _wholes(open_: DataFrame) -> DataFrame:
+    """key, node, size and component: groups of other blocks that share a node are one key, so its pairs are compared once.
+
+    open_: each node once, with the least nodes of all its groups. Only these are
+    joined, each with the smallest of the same node: nodes that are in the same
+    groups give the same links.
+    """
+    links = open_.select(F.array_min("leasts").alias("a"), F.explode("leasts").alias("b"))
+    whole = components(links).select("vertex", F.col("component").alias("key"))
+    first = open_.select("node", "size", "component", F.array_min("leasts").alias("first"))
+    return first.join(whole, F.col("first") == F.col("vertex"), "left").select(F.coalesce("key", "first").alias("key"), "node", "size", "component")
+
+
 def _forest(t: pa.Table) -> pa.Table:
     """Of a group's links a spanning forest, over what its components join already."""
     ids = t.column("node").to_numpy()
@@ -272,11 +285,9 @@ def similar(df: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame]:
     parts = components(found)
     placed = cut(hot.join(parts, F.col("node") == F.col("vertex"), "left").select("key", "node", "size", F.col("least.node").alias("least"), F.coalesce("component", "node").alias("component")))
     torn = placed.groupBy("key").agg((F.min("component") != F.max("component")).alias("torn")).where("torn").select("key")
-    open_ = cut(placed.join(torn, "key", "left_semi").select("least", "node", "size", "component").distinct())
+    open_ = cut(placed.join(torn, "key", "left_semi").groupBy("node", "size", "component").agg(F.collect_set("least").alias("leasts")))
     if not open_.isEmpty():
-        # Groups of other blocks that share a node are one: its pairs are compared once.
-        whole = components(open_.select(F.col("least").alias("a"), F.col("node").alias("b"))).select("vertex", F.col("component").alias("key"))
-        each = cut(open_.select("node", "size", "component").distinct().join(whole, F.col("node") == F.col("vertex")).select("key", "node", "size", "component"))
+        each = cut(_wholes(open_))
         sums = each.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
         many = each.join(sums, "key").withColumn("many", F.greatest(F.ceil(F.col("n") / CHUNK), F.least("n", F.ceil(F.col("total") * 8 / CHUNK_BYTES))).cast("int")).withColumn("c", F.pmod(F.xxhash64("node"), F.col("many")).cast("int"))
         dealt = many.select("key", "node", "component", F.explode(F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda o: F.struct(F.least("c", o).alias("i"), F.greatest("c", o).alias("j")))).alias("p"))

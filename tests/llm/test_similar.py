@@ -101,3 +101,16 @@ def test_large_keys_that_several_groups_share(spark, monkeypatch):
                 words[at] = f"x{g}i{i}v{at}"
             docs[100 * g + i] = " ".join(words)
     assert kept(spark, docs) == kept_by_brute_force(docs)
+
+
+def test_groups_that_share_nodes_are_joined_by_few_links(spark, monkeypatch):
+    """Sets below the limit that share groups of many blocks: what joins the groups grows with the sets, not with the blocks of each."""
+    links, inner = [], minhash.components
+    monkeypatch.setattr(minhash, "components", lambda edges: links.append(edges.distinct().count()) or inner(edges))
+    core = [f"c{k}" for k in range(94)]
+    docs = {i: " ".join([*core, *(f"d{i}w{k}" for k in range(15))]) for i in range(300)}
+    for i in range(40):  # a chain within the group
+        docs[1000 + i] = " ".join([*core, *(f"d{i}w{k}" for k in range(12))])
+    assert kept(spark, docs) == kept_by_brute_force(docs) == list(range(300))
+    assert len(links) == 3  # pairs, groups, the rest of the pairs
+    assert max(links) <= 3 * len(docs)
