@@ -197,6 +197,16 @@ def _groups(t: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(sums[of[at]].view(np.int64)), "node": pa.array(ids[at]), "size": pa.array(sizes[at].astype(np.int64))})
 
 
+def _members(t: pa.Table) -> pa.Table:
+    """_groups with each group's number of nodes and its smallest node: a bin holds groups whole."""
+    g = _groups(t)
+    g = g.take(pa.array(np.lexsort((g.column("node").to_numpy(), g.column("key").to_numpy()))))
+    _, first, of, n = np.unique(g.column("key").to_numpy(), return_index=True, return_inverse=True, return_counts=True)
+    least = g.select(["node", "size"]).take(pa.array(first[of])).combine_chunks()
+    both = pa.StructArray.from_arrays([pa.array(c.to_numpy()) for c in least.columns], names=least.column_names)
+    return g.append_column("n", pa.array(n[of].astype(np.int64))).append_column("least", both)
+
+
 def _sets(df: DataFrame, named: DataFrame, words: int) -> DataFrame:
     """node and set (bytes) of the nodes in named, each with the doc_id of a row that has it."""
 
@@ -265,9 +275,7 @@ def similar(df: DataFrame, words: int = 5) -> tuple[DataFrame, DataFrame]:
     df = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     docs = cut(_sketches(df, words))
     nodes = cut(docs.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("fp").alias("fp")))
-    keyed = cut(_blocks(nodes.where("fp is not null")).groupBy("bin").applyInArrow(_groups, "key long, node long, size long").distinct())
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), F.min(F.struct("node", "size")).alias("least")).where("n > 1")
-    members = cut(keyed.join(shared.hint("merge"), "key"))  # both grow with the corpus
+    members = cut(_blocks(nodes.where("fp is not null")).groupBy("bin").applyInArrow(_members, "key long, node long, size long, n long, least struct<node: long, size: long>").distinct())
     cold, hot = members.where(F.col("n") <= COLD), members.where(F.col("n") > COLD)
     one, other = (cold.select("key", F.col("node").alias(n), F.col("size").alias(f"{n}_size")) for n in "ab")
     hubs = hot.groupBy("node", "size").agg(F.slice(F.sort_array(F.collect_set("least")), 1, STARS).alias("hubs"))
