@@ -44,6 +44,42 @@ def test_word_encoder_is_the_library():
             assert np.frombuffer(ids, "<u4").tolist() == peer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_word_encoder_takes_a_word_once():
+    class Counted(dict):
+        n = 0
+
+        def get(self, *a):
+            Counted.n += 1
+            return super().get(*a)
+
+    mine = word_tokens.WordEncoder(public.path("word_bpe_49k.json"))
+    mine.words = Counted()
+    mine.encode(["the cat, the hat\n" * 500, "a hat the " * 500, ""])
+    assert Counted.n <= 6  # the, cat,, hat, a and perhaps an empty word
+
+
+def test_word_encoder_starts_afresh(monkeypatch):
+    path = public.path("word_bpe_49k.json")
+    peer, mine = Tokenizer.from_file(path), word_tokens.WordEncoder(path)
+    monkeypatch.setattr(word_tokens, "MEMO", 0)
+    monkeypatch.setattr(word_tokens, "MEMO_PARTS", 0)
+    learn, asked = mine._learn_parts, []
+    monkeypatch.setattr(mine, "_learn_parts", lambda parts: (asked.extend(parts), learn(parts)))
+    for texts in (["often often once"], ["often, new"], ODD, ["often! once", "", "x"]):
+        for t, ids in zip(texts, mine.encode(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == peer.encode(t, add_special_tokens=False).ids, t
+        if texts[0] == "often, new":  # the parts that these words need are kept
+            assert asked.count("often") == 1 and asked.count("new") == 1
+    assert mine.encode([]) == [] and mine.encode(["", " \n"]) == [b"", b""]
+
+
+def test_words_of_a_batch():
+    space = [f"a{chr(c)}b" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for texts in (ODD, [t for t in space if t[1] not in "\x1c\x1d\x1e\x1f"], ["", " x\x1cy  z "], []):
+        assert [[w for w in ws if w] for ws in word_tokens.batch_words(texts).to_pylist()] == [word_tokens.split_words(t) for t in texts]
+    assert word_tokens.batch_words([" x\x1cy  z "]).to_pylist() == [["x\x1cy", "z"]]
+
+
 def fingerprint(text, k):
     words = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     if not words:
